@@ -36,6 +36,7 @@ LEVELS = ((0, 6), (2, 9), (8, 12), (32, 14))
 CELL_ROWS = 8192  # wanted rows of a cell; decides the level
 TILE = 2048  # rows of a block in a product tile
 HOT_ROWS = 32_768  # cells above this are spread over several tasks
+HOT_BROADCAST = 500_000  # hot cells that may be broadcast (12 bytes each)
 SEED = 20240229
 
 
@@ -192,7 +193,9 @@ def candidate_pairs(classes: DataFrame, rows: int, k: int, least: float) -> Data
     index = hashed(classes, second, tables)
     sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     hot = sizes.filter(F.col("n") > HOT_ROWS).select("cell", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
-    # A hot cell's rows go to every pair of parts that holds theirs; other cells are one group.  There are at most rows * tables / HOT_ROWS hot cells.
+    if rows * tables / HOT_ROWS <= HOT_BROADCAST:  # so many hot cells there are at most
+        hot = F.broadcast(hot)
+    # A hot cell's rows go to every pair of parts that holds theirs; other cells are one group.
     placed = (
         index.join(hot, "cell", "left")
         .withColumn("own", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")))
