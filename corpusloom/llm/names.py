@@ -284,14 +284,12 @@ def entity_keys(names: DataFrame) -> DataFrame:
     options = options.filter((F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("core"))))
 
     # What each core is known with: given names of persons, kind and subject of organisations.
-    detail = F.when(F.col("form") == "full", F.explode_outer("givens"))
     known = (
         placed.filter(F.col("form").isin("full", "org"))
         .select("project", "family", "core", F.explode(F.when(F.col("form") == "full", F.col("givens")).otherwise(F.array(F.concat_ws("|", "kind", "subject")))).alias("detail"))
         .groupBy("project", "family", "core", "detail")
         .agg(F.count(F.lit(1)).alias("detail_n"))
     )
-    del detail
     mine = placed.withColumn(
         "details",
         F.when(F.col("form") == "full", F.col("givens")).when(F.col("form") == "org", F.array(F.concat_ws("|", "kind", "subject"))).otherwise(F.array(F.lit(None).cast("string"))),
@@ -321,6 +319,7 @@ def entity_keys(names: DataFrame) -> DataFrame:
         .select("project", "text", F.col("to.other").alias("core"))
     )
     settled = placed.withColumnRenamed("core", "own").join(accepted, ["project", "text"], "left").withColumn("core", F.coalesce("core", "own")).drop("own")
+    settled = cut(settled)  # used by every rule below
 
     # Persons: a nickname of several given names takes the one that its surname is known with.
     full = settled.filter("form = 'full'").select("project", "text", "core", F.explode("givens").alias("given"), F.size("givens").alias("m"))
@@ -332,6 +331,7 @@ def entity_keys(names: DataFrame) -> DataFrame:
         .filter("m = 1 or fit <= 1")
         .select("project", "text", "core", F.col("best.given").alias("given"))
     )
+    chosen = cut(chosen)
     persons = chosen.select("project", "core", "given").distinct()
     by_initial = persons.groupBy("project", "core", F.substring("given", 1, 1).alias("initial")).agg(F.count(F.lit(1)).alias("k"), F.min("given").alias("given"))
     initials = settled.filter("form = 'initial'").join(by_initial, ["project", "core", "initial"], "left")
