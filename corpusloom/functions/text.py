@@ -87,8 +87,8 @@ def clip(text: Column, n: int) -> Column:
 def short_number(n: Column) -> Column:
     """1234 as 1.2k, 1234567 as 1.2M."""
     return (
-        F.when(n >= 1_000_000, F.concat(F.format_number(F.round(n / 1_000_000, 1), "0.0"), F.lit("M")))
-        .when(n >= 1_000, F.concat(F.format_number(F.round(n / 1_000, 1), "0.0"), F.lit("k")))
+        F.when(n >= 1_000_000, F.format_string("%.1fM", F.round(n / 1_000_000, 1)))
+        .when(n >= 1_000, F.format_string("%.1fk", F.round(n / 1_000, 1)))
         .otherwise(n.cast("string"))
     )
 
