@@ -113,6 +113,12 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(F.lower(word), "[^a-z]", ""), F.lit("[aeiouy]{1,2}")))
 
 
+def total_syllables(words: Column) -> Column:
+    """Sum of syllables() over an array of lower-case words, by three passes over the joined words."""
+    joined = F.regexp_replace(F.array_join(words, " "), "[^a-z ]", "")
+    return F.regexp_count(joined, F.lit("[aeiouy]{1,2}")) + F.size(words) - F.regexp_count(joined, F.lit("[aeiouy][a-z]*"))
+
+
 def markdown_to_text(text: Column) -> Column:
     """Without fenced code; the signs of markup become spaces."""
     return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", " "), r"[#*_`>\-\[\]()]", " ")
@@ -136,20 +142,19 @@ def without_citations(text: Column) -> Column:
 
 def year_ranges(text: Column) -> Column:
     """Distinct ranges (start, end) with start <= end, outside citations, in order of appearance."""
-    pattern = F.lit(rf"{EDGE}{YEAR}\s*[-–—]\s*{YEAR}{EDGE}")
-    plain = without_citations(text)
-    pairs = F.arrays_zip(
-        F.transform(F.regexp_extract_all(plain, pattern, F.lit(1)), lambda x: x.cast("int")).alias("s"),
-        F.transform(F.regexp_extract_all(plain, pattern, F.lit(2)), lambda x: x.cast("int")).alias("e"),
-    )
+    spans = F.regexp_extract_all(without_citations(text), F.lit(rf"(?<!\w)({YEAR}\s*[-–—]\s*{YEAR})(?!\w)"), F.lit(1))
+    pairs = F.transform(spans, lambda x: F.struct(F.substring(x, 1, 4).cast("int").alias("s"), F.right(x, F.lit(4)).cast("int").alias("e")))
     return F.array_distinct(F.filter(pairs, lambda p: p["s"] <= p["e"]))
 
 
-def single_years(text: Column) -> Column:
-    """Distinct years outside citations that no range begins or ends with, sorted."""
-    years = F.transform(F.regexp_extract_all(without_citations(text), F.lit(f"{EDGE}{YEAR}{EDGE}"), F.lit(1)), lambda x: x.cast("int"))
-    r = year_ranges(text)
-    return F.array_sort(F.array_except(F.array_distinct(years), F.concat(F.transform(r, lambda p: p["s"]), F.transform(r, lambda p: p["e"]))))
+def years(text: Column) -> Column:
+    """All years outside citations."""
+    return F.transform(F.regexp_extract_all(without_citations(text), F.lit(rf"(?<!\w){YEAR}(?!\w)"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def single_years(all_years: Column, ranges: Column) -> Column:
+    """Distinct years that no range begins or ends with, sorted."""
+    return F.array_sort(F.array_except(F.array_distinct(all_years), F.concat(F.transform(ranges, lambda p: p["s"]), F.transform(ranges, lambda p: p["e"]))))
 
 
 def blocks_blank(text: Column) -> Column:

@@ -97,7 +97,7 @@ def readability(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     words = T.tokens_accented(F.col(text))
     x = df.select(key, words.alias("w"), F.size(T.sentences(F.col(text))).alias("sentences"))
     n = F.size("w")
-    syl = F.aggregate(F.transform("w", T.syllables), F.lit(0), lambda s, v: s + v.cast("int"))
+    syl = T.total_syllables(F.col("w"))
     asl = F.when(F.col("sentences") > 0, n / F.col("sentences")).otherwise(0.0)
     asw = F.when(n > 0, syl / n).otherwise(0.0)
     ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(206.835) - F.lit(1.015) * asl - F.lit(84.6) * asw))

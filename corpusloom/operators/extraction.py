@@ -10,9 +10,11 @@ from corpusloom.functions import text as T
 
 def dates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, i, start, end, kind: ranges in order of appearance, then single years; years in citations don't count."""
-    r = F.transform(T.year_ranges(F.col(text)), lambda p: F.struct(p["s"].alias("start"), p["e"].alias("end"), F.lit("range").alias("kind")))
-    s = F.transform(T.single_years(F.col(text)), lambda y: F.struct(y.alias("start"), F.lit(None).cast("int").alias("end"), F.lit("single").alias("kind")))
-    return df.select(key, F.posexplode(F.concat(r, s)).alias("i", "d")).select(key, "i", "d.start", "d.end", "d.kind")
+    # Texts without a year are most; they are left out before the costly patterns.
+    found = df.filter(F.col(text).rlike(T.PLAIN_YEAR)).select(key, T.year_ranges(F.col(text)).alias("r"), T.years(F.col(text)).alias("y"))
+    r = F.transform("r", lambda p: F.struct(p["s"].alias("start"), p["e"].alias("end"), F.lit("range").alias("kind")))
+    s = F.transform(T.single_years(F.col("y"), F.col("r")), lambda y: F.struct(y.alias("start"), F.lit(None).cast("int").alias("end"), F.lit("single").alias("kind")))
+    return found.select(key, F.posexplode(F.concat(r, s)).alias("i", "d")).select(key, "i", "d.start", "d.end", "d.kind")
 
 
 def timeline(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

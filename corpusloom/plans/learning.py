@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import learning as L
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import structure as S
+from corpusloom.plans.text import docs
 from corpusloom.session import table
 
 QUERIES: dict = {}
@@ -27,7 +28,7 @@ def query(name: str, sql: str | None = None):
 @query("nmf_topics")
 def nmf_topics(spark: SparkSession, d: str) -> DataFrame:
     """Topics of each document with enough pieces."""
-    return L.document_topics(R.window_chunks(S.paragraphs(table(spark, d, "documents"))))
+    return L.document_topics(R.window_chunks(S.paragraphs(docs(spark, d))))
 
 
 @query("character_clusters")

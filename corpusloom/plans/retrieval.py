@@ -10,7 +10,7 @@ from corpusloom.functions import vectors as V
 from corpusloom.operators import memory as M
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import structure as S
-from corpusloom.plans.text import PARA_SQL, SPACE
+from corpusloom.plans.text import PARA_SQL, SPACE, docs
 from corpusloom.session import table
 
 QUERIES: dict = {}
@@ -43,17 +43,17 @@ ASKED = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
   SELECT doc_id, para, piece, array_to_string(p, ' ') AS chunk FROM q WHERE len(p) >= 8""",
 )
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
-    return R.window_chunks(S.paragraphs(table(spark, d, "documents")))
+    return R.window_chunks(S.paragraphs(docs(spark, d)))
 
 
 @query("chunk_recursive")
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
-    return R.recursive_chunks(table(spark, d, "documents"), ["doc_id"])
+    return R.recursive_chunks(docs(spark, d), ["doc_id"])
 
 
 @query("chunk_sentences")
 def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return R.sentence_chunks(S.paragraphs(table(spark, d, "documents")), ["doc_id", "para"])
+    return R.sentence_chunks(S.paragraphs(docs(spark, d)), ["doc_id", "para"])
 
 
 @query("hash_embeddings")

@@ -9,7 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import corpus as C
 from corpusloom.operators import extraction as X
 from corpusloom.operators import structure as S
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS) + ")"
 WORD_SQL = r"[a-zA-Z][a-zA-Z\-'']+"
@@ -38,7 +38,7 @@ LEXICON_SQL = "(VALUES " + ", ".join(f"('{t}', '{w}')" for t, ws in LEXICON.item
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def tok_sql(where: str = "TRUE") -> str:

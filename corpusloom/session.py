@@ -47,6 +47,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the session has cores, dealt out to all of them; a large one stays as it is.
+
+    For work whose cost is in the rows' texts, not in reading them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle width, at least 1."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

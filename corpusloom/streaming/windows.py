@@ -27,7 +27,7 @@ def sliding(events: DataFrame, width: str = "2 days", step: str = "1 day", late:
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None, key: str = "user_id") -> DataFrame:
-    """key, start, end, n: runs of events with no pause of ``gap`` or more."""
+    """key, start, end, n: runs of events with no pause longer than ``gap``."""
     x = events.withWatermark("ts", late) if late else events
     return x.groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 

@@ -142,7 +142,7 @@ def test_streams_equal_batches(spark, tmp_path):
     live = W.drain(W.tumbling(W.stream(spark, str(tmp_path / "in"), files_per_batch=10), late="1 day"), str(tmp_path / "out"), str(tmp_path / "cp"))
     done = {tuple(r) for r in live.collect()}
     assert done <= {tuple(r) for r in W.tumbling(df).collect()}
-    assert W.sessions(df, "3 hours").count() == 48 and W.sessions(df, "4 hours").count() == 3
+    assert W.sessions(df, "2 hours").count() == 48 and W.sessions(df, "3 hours").count() == 3
     assert W.sliding(df).agg(F.sum("n")).first()[0] == 96
 
 
