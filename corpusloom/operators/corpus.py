@@ -151,7 +151,7 @@ def association(near: DataFrame, everywhere: DataFrame, least: int = 2, top_n: i
 
 def lexicon_scores(freq: DataFrame, lexicon: DataFrame, keys: Sequence[str] = (), top_n: int = 6) -> DataFrame:
     """Topics of a lexicon(topic, word) in freq(keys, word, n): keys, topic, freq, related."""
-    hit = freq.join(F.broadcast(lexicon), "word")
+    hit = freq.join(lexicon, "word")  # broadcast by the planner if the lexicon is small
     best = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("word")))), 1, top_n), lambda s: s["word"])
     return hit.groupBy(*keys, "topic").agg(F.sum("n").alias("freq"), best.alias("related"))
 

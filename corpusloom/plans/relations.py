@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import graph as G
+from corpusloom.plans import as_bigint
 from corpusloom.session import table
 
 QUERIES: dict = {}
@@ -212,3 +213,7 @@ def verified_names(spark: SparkSession, d: str) -> DataFrame:
     words = F.regexp_extract_all(F.col("text"), F.lit(f"{T.EDGE}([A-Za-z]+){T.EDGE}"), F.lit(1))
     w = table(spark, d, "mem_chunks").select("project", F.explode(words).alias("text")).groupBy("project", "text").agg(F.count(F.lit(1)).alias("n"))
     return e.join(w, ["project", "text"], "left").na.fill(0, ["n"])
+
+
+as_bigint(SQL, "entity_paragraphs", "mentions")
+as_bigint(SQL, "entity_totals", "n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import tabular as B
+from corpusloom.plans import as_bigint
 from corpusloom.session import table
 
 QUERIES: dict = {}
@@ -243,3 +244,8 @@ def priced_lines(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("l_returnflag", "l_linestatus").agg(
         F.sum("l_quantity").alias("sum_qty"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.avg("l_extendedprice").alias("avg_price"), F.count(F.lit(1)).alias("n")
     )
+
+
+as_bigint(SQL, "describe_categorical", "count")
+as_bigint(SQL, "null_profile", "nulls")
+as_bigint(SQL, "fixed_size_parts", "part")

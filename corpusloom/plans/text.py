@@ -9,6 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import corpus as C
 from corpusloom.operators import extraction as X
 from corpusloom.operators import structure as S
+from corpusloom.plans import as_bigint
 from corpusloom.session import spread, table
 
 STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS) + ")"
@@ -545,3 +546,9 @@ def cloud_cover(spark: SparkSession, d: str) -> DataFrame:
 @query("reflowed")
 def reflowed(spark: SparkSession, d: str) -> DataFrame:
     return S.reflow(docs(spark, d))
+
+
+as_bigint(SQL, "corpus_stats", "total_words", "filtered_words", "unique_filtered", "stopwords_removed")
+as_bigint(SQL, "lexicon_topics", "freq")
+as_bigint(SQL, "corpus_totals", "characters", "words")
+as_bigint(SQL, "quality_notes", "words")
