@@ -34,7 +34,7 @@ from corpusloom.session import shuffle_partitions
 #: (dimensions of the second hash, 0 for none; number of tables).  Finer cells need more tables for the same recall.
 LEVELS = ((0, 6), (2, 9), (8, 12), (32, 14))
 CELL_ROWS = 8192  # wanted rows of a cell; decides the level
-TILE = 2048  # rows of a block in a product tile
+TILE = 1024  # rows of a block in a product tile
 HOT_ROWS = 32_768  # cells above this are spread over several tasks
 HOT_BROADCAST = 500_000  # hot cells that may be broadcast (12 bytes each)
 SEED = 20240229
@@ -117,12 +117,18 @@ def hashed(classes: DataFrame, second: int, tables: int) -> DataFrame:
     return classes.select("cid", "space", "vec").mapInArrow(work, "cell long, row binary")
 
 
-def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, bounds of the rest, dequantised rows in float32)."""
     data = np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1)
     ids = np.ascontiguousarray(data[:, :8]).view(np.int64)[:, 0]
     scale = np.ascontiguousarray(data[:, 8:12]).view(np.float32)[:, 0]
     rest = np.ascontiguousarray(data[:, 12:16]).view(np.float32)[:, 0]
-    return ids, scale, rest, data[:, 16:].astype(np.float32)
+    return ids, rest, data[:, 16:] * scale[:, None]
+
+
+def _bound(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray | float:
+    """Bound on the error of a product of two quantised unit rows, float32 rounding included."""
+    return a * (1 + b) + b + 2e-5
 
 
 class Survivors:
@@ -132,25 +138,30 @@ class Survivors:
         self.best, self.least = np.full((n, k), -2.0, np.float32), least
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def tile(self, a: slice, b: slice, scale: np.ndarray, rest: np.ndarray, codes: np.ndarray) -> None:
-        """The product of block a with block b; integers up to 2**24 are exact in float32."""
-        approx = codes[a] @ codes[b].T
-        approx *= scale[a][:, None]
-        approx *= scale[b][None, :]
-        size = rest[a][:, None] * (1 + rest[b][None, :]) + rest[b][None, :] * (1 + 1e-6) + 1e-6
-        upper = approx + size
+    def tile(self, a: slice, b: slice, rows: np.ndarray, rest: np.ndarray) -> None:
+        """The product of block a with block b of the dequantised rows.
+
+        One bound for the whole tile leaves few pairs; those get their own.
+        """
+        approx = rows[a] @ rows[b].T
+        worst = _bound(rest[a].max(), rest[b].max())
+        near = approx >= self.least - worst
         if a == b:
-            upper[np.tril_indices(len(upper))] = -2
-        i, j = np.nonzero(upper >= self.least)
-        if not len(i):
+            near = np.triu(near, 1)
+        at = np.flatnonzero(near)
+        if not len(at):
             return
-        up, low = upper[i, j], approx[i, j] - size[i, j]
-        i, j = i + a.start, j + b.start
-        self._merge(i, low)
-        self._merge(j, low)
-        self.pairs.append((i, j, up))
+        i, j = np.divmod(at, near.shape[1])
+        value, size = approx[i, j], _bound(rest[a][i], rest[b][j])
+        keep = value + size >= self.least
+        i, j, value, size = i[keep] + a.start, j[keep] + b.start, value[keep], size[keep]
+        self._merge(i, value - size)
+        self._merge(j, value - size)
+        self.pairs.append((i, j, value + size))
 
     def _merge(self, who: np.ndarray, low: np.ndarray) -> None:
+        if not len(who):
+            return
         k = self.best.shape[1]
         order = np.lexsort((-low, who))
         who, low = who[order], low[order]
@@ -170,20 +181,21 @@ class Survivors:
         return i[keep], j[keep]
 
 
-def _join_blocks(rows: list[bytes], part: np.ndarray | None, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _join_blocks(rows: list[bytes], part: np.ndarray | None, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Survivors of a cell, or of the pair of parts of a hot cell (part: 0 or 1 a row)."""
-    ids, scale, rest, codes = _unpack(rows)
-    order = np.argsort(part, kind="stable") if part is not None else np.arange(len(ids))
-    ids, scale, rest, codes = ids[order], scale[order], rest[order], codes[order]
+    ids, rest, x = _unpack(rows)
+    if part is not None:
+        order = np.argsort(part, kind="stable")
+        ids, rest, x = ids[order], rest[order], x[order]
     n, cut_at = len(ids), int((part == 0).sum()) if part is not None else 0
     found = Survivors(n, k, least)
     blocks = [slice(s, min(s + TILE, end)) for begin, end in (((0, n),) if part is None else ((0, cut_at), (cut_at, n))) for s in range(begin, end, TILE)]
-    for x, a in enumerate(blocks):
-        for b in blocks[x:]:
+    for n_a, a in enumerate(blocks):
+        for b in blocks[n_a:]:
             if part is None or (a.start < cut_at <= b.start):
-                found.tile(a, b, scale, rest, codes)
+                found.tile(a, b, x, rest)
     i, j = found.left()
-    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), codes
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
 
 def candidate_pairs(classes: DataFrame, rows: int, k: int, least: float) -> DataFrame:
@@ -224,7 +236,7 @@ def candidate_pairs(classes: DataFrame, rows: int, k: int, least: float) -> Data
             split = None
             if p[at[0]] != q[at[0]]:
                 split = (own[at] == q[at[0]]).astype(np.int8)
-            a, b, _ = _join_blocks(rows_.take(pa.array(at)).to_pylist(), split, k, least)
+            a, b = _join_blocks(rows_.take(pa.array(at)).to_pylist(), split, k, least)
             out_a.append(a)
             out_b.append(b)
         none = np.zeros(0, np.int64)
