@@ -36,6 +36,7 @@ LEVELS = ((0, 6), (2, 9), (8, 12), (32, 14))
 CELL_ROWS = 8192  # wanted rows of a cell; decides the level
 TILE = 1024  # rows of a block in a product tile
 HOT_ROWS = 32_768  # cells above this are spread over several tasks
+SIFT = 2_000_000  # pairs held before they are sifted
 HOT_BROADCAST = 500_000  # hot cells that may be broadcast (12 bytes each)
 SEED = 20240229
 
@@ -137,6 +138,7 @@ class Survivors:
     def __init__(self, n: int, k: int, least: float):
         self.best, self.least = np.full((n, k), -2.0, np.float32), least
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.sift_at = 0, SIFT
 
     def tile(self, a: slice, b: slice, rows: np.ndarray, rest: np.ndarray) -> None:
         """The product of block a with block b of the dequantised rows.
@@ -157,7 +159,20 @@ class Survivors:
         i, j, value, size = i[keep] + a.start, j[keep] + b.start, value[keep], size[keep]
         self._merge(i, value - size)
         self._merge(j, value - size)
-        self.pairs.append((i, j, value + size))
+        self._add(i, j, value + size)
+
+    def _add(self, i: np.ndarray, j: np.ndarray, upper: np.ndarray) -> None:
+        """Keep pairs that may still count; the floors only rise, so earlier pairs are sifted again now and then."""
+        floor = self.best[:, -1]
+        keep = (upper >= floor[i]) | (upper >= floor[j])
+        self.pairs.append((i[keep], j[keep], upper[keep]))
+        self.held += int(keep.sum())
+        if self.held > self.sift_at:
+            i, j, upper = (np.concatenate(x) for x in zip(*self.pairs))
+            keep = (upper >= floor[i]) | (upper >= floor[j])
+            self.pairs = [(i[keep], j[keep], upper[keep])]
+            self.held = int(keep.sum())
+            self.sift_at = max(SIFT, 2 * self.held)
 
     def _merge(self, who: np.ndarray, low: np.ndarray) -> None:
         if not len(who):
