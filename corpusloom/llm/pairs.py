@@ -6,9 +6,11 @@ checks, and a pushdown parser for fences, brackets, quotations, lists and
 markup with a model of sentence endings (truncated).  The first that applies
 names the defect.
 
-The ending model is trained here: sentences with a full stop in a bounded
-sample of answers (``sample_rows``) give, for runs of up to six words (words that stand in for each other count as one), how
-often a sentence ends or goes on after them.
+The ending model is counted here over the sentences with a full stop of all
+distinct answers: for runs of up to six words (words that stand in for each
+other count as one), how often a sentence ends or goes on after them.  Counts
+are added up map-side and joined to the answers that ask for them; only the
+words that count as themselves are broadcast (``MARKED`` at most).
 
 Defined results: a null answer is empty; a null question can't be copied and
 has no language, so only empty, refusal and truncated apply; rows repeated
@@ -20,15 +22,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 20_000  # answers that the ending model is trained on, at most
-SAMPLE_CHARS = 4_000  # longer answers aren't taken into the sample
+from corpusloom.session import cut
+
+MARKED = 400_000  # words that count as themselves in runs: those with this share (1 in MARKED) of all words, so no more than that
+FLUSH = 200_000  # counts that a worker holds before it gives them on
 TILE_WORDS = 2  # shortest tile
 COPY_SHARE = 0.8  # share of the answer's words in tiles
 COPY_WORDS = 4  # shortest answer that counts as a copy
@@ -272,40 +276,54 @@ def open_at_end(text: str) -> bool:
     return len(lines) > 1 and bool(_MARKER.match(lines[-1]))
 
 
+_ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
+
+
+def sentences(text: str) -> Iterator[list[str]]:
+    """The words of each sentence with a full stop."""
+    for s in _SENTENCE.split(text):
+        s = s.strip().rstrip("\"”»)*`")
+        if s.endswith((".", "!", "?")) and not s.endswith(("...", "…")):
+            tokens = words(_ITEM.sub("", s))
+            if len(tokens) > 2:
+                yield tokens
+
+
 class Endings:
     """How often a sentence ends, or goes on, after a run of up to six words."""
 
-    RUN, SEEN, FREQUENT = 6, 3, 3
-
-    def __init__(self, texts: list[str]):
-        counts: Counter[str] = Counter()
-        sentences = []
-        for text in texts:
-            for s in _SENTENCE.split(text):
-                s = s.strip().rstrip("\"”»)*`")
-                if s.endswith((".", "!", "?")) and not s.endswith(("...", "…")):
-                    tokens = words(re.sub(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+", "", s))
-                    if len(tokens) > 2:
-                        sentences.append(tokens)
-                        counts.update(tokens)
+    RUN, SEEN, FREQUENT, FILLERS = 6, 3, 3, 6
+
+    def __init__(self, texts: Iterable[str] = ()):
+        found = [tokens for text in texts for tokens in sentences(text)]
+        counts = Counter(w for tokens in found for w in tokens)
         self.known = {w for w, n in counts.items() if n >= self.FREQUENT}
-        self.prefixes: Counter[str] = Counter()
-        for w, n in counts.items():
-            if n >= self.FREQUENT and not any(ch.isdigit() for ch in w):
-                for k in range(1, len(w)):
-                    self.prefixes[w[:k]] += 1
-        self.slots = self._slots(sentences)
+        self.prefixes = {x for w in self.known for x in self.prefixes_of(w)}
+        self.slots = self._slots(found)
+        self.marked = self.known - self.slots
         ends: Counter[tuple] = Counter()
         goes: Counter[tuple] = Counter()
-        for tokens in sentences:
-            run = ["^", *(self._mask(w) for w in tokens)]
-            for i in range(1, len(run)):
-                to = ends if i == len(run) - 1 else goes
-                for n in range(1, self.RUN + 1):
-                    if i - n + 1 >= 0:
-                        to[tuple(run[i - n + 1 : i + 1])] += 1
+        for tokens in found:
+            for run, last in self.runs(tokens):
+                (ends if last else goes)[run] += 1
         self.table = {k: (ends[k], goes[k]) for k in ends.keys() | goes.keys() if ends[k] + goes[k] >= self.SEEN}
 
+    @staticmethod
+    def prefixes_of(w: str) -> list[str]:
+        return [] if any(ch.isdigit() for ch in w) else [w[:k] for k in range(1, len(w))]
+
+    def runs(self, tokens: list[str]) -> Iterator[tuple[tuple, bool]]:
+        """The runs of a sentence, and whether it ends after them."""
+        run = ["^", *(self._mask(w) for w in tokens)]
+        for i in range(1, len(run)):
+            for n in range(1, min(self.RUN, i + 1) + 1):
+                yield tuple(run[i - n + 1 : i + 1]), i == len(run) - 1
+
+    def asked(self, tokens: list[str]) -> list[tuple]:
+        """The runs that goes_on() looks up for these words."""
+        run = ["^", *(self._mask(w) for w in tokens)]
+        return list({tuple(run[-n:]) for n in range(1, min(self.RUN, len(run)) + 1)} | {tuple(run[:3]), (tokens[-1],)})
+
     def _slots(self, sentences: list[list[str]]) -> set[str]:
         """Words that mostly stand where many others can: between two words that hold six or more fillers."""
         fillers: dict[tuple[str, str], set[str]] = {}
@@ -315,12 +333,12 @@ class Endings:
             for a, w, b in zip(run, run[1:], run[2:]):
                 fillers.setdefault((a, b), set()).add(w)
                 around.setdefault(w, Counter())[a, b] += 1
-        return {w for w, seen in around.items() if sum(n for k, n in seen.items() if len(fillers[k]) >= 6) >= 0.5 * sum(seen.values())}
+        return {w for w, seen in around.items() if sum(n for k, n in seen.items() if len(fillers[k]) >= self.FILLERS) >= 0.5 * sum(seen.values())}
 
     def _mask(self, w: str) -> str:
         if w[0].isdigit():
             return "0"
-        return w if w in self.known and w not in self.slots else "*"
+        return w if w in self.marked else "*"
 
     def chance(self, tokens: list[str]) -> float:
         """The chance that a sentence ends after these words."""
@@ -339,8 +357,13 @@ class Endings:
         return word in self.known and word not in self.slots and hit is not None and sum(hit) >= 10 and hit[0] <= 0.004 * sum(hit)
 
 
-def is_truncated(question: str | None, answer: str, endings: Endings) -> bool:
-    """Whether a real answer breaks off before its end."""
+def last_words(question: str | None, answer: str) -> bool | tuple[list[str], bool, bool, bool]:
+    """Whether a real answer breaks off before its end, where that shows without the ending model.
+
+    Else what the model is asked: the last sentence's words (of more than
+    eight only the first two and the last six), whether the last begins a word
+    of the pair, is in lower case, and whether there is no other sentence.
+    """
     text = _ZERO.sub("", answer).rstrip()
     if open_at_end(text):
         return True
@@ -354,26 +377,38 @@ def is_truncated(question: str | None, answer: str, endings: Endings) -> bool:
         return len(words(text)) > 2 or ":" == text[-1]
     elif text.endswith(")"):
         return False
-    last = re.sub(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+", "", _SENTENCE.split(text)[-1])
+    last = _ITEM.sub("", _SENTENCE.split(text)[-1])
     tokens = words(last)
     if not tokens:
         return False
     end = tokens[-1]
     if not last[-1].isalnum():
         return False
+    named = any(w != end and len(w) > len(end) and w.startswith(end) for w in words((question or "") + " " + text))
+    lower = re.findall(r"\w+", last)[-1].islower()
     whole = len(words(text)) == len(tokens)
+    return (tokens if len(tokens) <= 8 else tokens[:2] + tokens[-6:]), named, lower, whole
+
+
+def breaks_off(tokens: list[str], named: bool, lower: bool, whole: bool, endings: Endings) -> bool:
+    """Whether a sentence breaks off with these words, by the ending model; arguments as of last_words()."""
+    end = tokens[-1]
     if end not in endings.known and not any(ch.isdigit() for ch in end):
-        names = {w for w in words((question or "") + " " + text) if w != end and len(w) > len(end) and w.startswith(end)}
-        raw = re.findall(r"\w+", last)[-1]
-        if len(tokens) > 1 and (names or (endings.prefixes[end] and (raw.islower() or len(tokens) > 3))):
+        if len(tokens) > 1 and (named or (end in endings.prefixes and (lower or len(tokens) > 3))):
             return True
     if whole and len(tokens) <= 4:
         return len(tokens) > 2 and endings.begins(tokens) and endings.never_last(end)
     return endings.chance(tokens) < 0.05
 
 
-def defect(question: str | None, answer: str | None, endings: Endings) -> str | None:
-    """empty, copy, refusal, language, truncated or None."""
+def is_truncated(question: str | None, answer: str, endings: Endings) -> bool:
+    """Whether a real answer breaks off before its end."""
+    seen = last_words(question, answer)
+    return seen if isinstance(seen, bool) else breaks_off(*seen, endings)
+
+
+def plain_defect(question: str | None, answer: str | None) -> str | None:
+    """empty, copy, refusal, language or None."""
     if is_empty(answer):
         return "empty"
     if is_copy(question, answer):
@@ -382,25 +417,115 @@ def defect(question: str | None, answer: str | None, endings: Endings) -> str |
         return "refusal"
     if is_foreign(question, answer):
         return "language"
-    if is_truncated(question, answer, endings):
-        return "truncated"
     return None
 
 
-def train_endings(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Endings:
-    """The ending model of a bounded sample of the answers."""
-    rows = df.select("answer").filter(F.length("answer").between(10, SAMPLE_CHARS)).orderBy(F.xxhash64("answer")).limit(sample_rows).collect()
-    return Endings([r[0] for r in rows])
+def defect(question: str | None, answer: str | None, endings: Endings) -> str | None:
+    """empty, copy, refusal, language, truncated or None."""
+    return plain_defect(question, answer) or ("truncated" if is_truncated(question, answer, endings) else None)
+
+
+def _flushed(batches: Iterator[pd.DataFrame], keys: Callable[[str], Iterable[tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Counts of the keys of each answer, added up here as far as FLUSH of them."""
+    counts: Counter[tuple] = Counter()
+
+    def out() -> pd.DataFrame:
+        x = pd.DataFrame(list(counts), columns=columns)
+        x["n"] = pd.Series(list(counts.values()), dtype="int64")
+        counts.clear()
+        return x
+
+    for x in batches:
+        for text in x["answer"]:
+            counts.update(keys(text))
+            if len(counts) > FLUSH:
+                yield out()
+    yield out()
 
 
-def defects(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def word_counts(answers: DataFrame) -> DataFrame:
+    """(w, n, slot) of each word of the sentences in distinct answers; slot: mostly stands where FILLERS or more others can."""
+
+    def triples(text: str) -> Iterator[tuple]:
+        for tokens in sentences(text):
+            run = ["^", *tokens, "$"]
+            yield from zip(run, run[1:], run[2:])
+
+    around = answers.mapInPandas(lambda x: _flushed(x, triples, ["a", "w", "b"]), "a string, w string, b string, n long").groupBy("a", "w", "b").agg(F.sum("n").alias("n"))
+    around = cut(around)
+    wide = around.groupBy("a", "b").count().filter(F.col("count") >= Endings.FILLERS).select("a", "b", F.lit(1).alias("wide"))
+    return around.join(wide, ["a", "b"], "left").groupBy("w").agg(F.sum("n").alias("n"), (2 * F.sum(F.when(F.col("wide") == 1, F.col("n")).otherwise(0)) >= F.sum("n")).alias("slot"))
+
+
+def truncated(asking: DataFrame, answers: DataFrame) -> DataFrame:
+    """Those of asking (tokens, named, lower, whole, distinct) that break off, by the endings in the distinct answers."""
+    spark = asking.sparkSession
+    counted = cut(word_counts(answers))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    known = counted.filter(F.col("n") >= Endings.FREQUENT)
+    model = Endings()
+    model.marked = {r[0] for r in known.filter(~F.col("slot") & (F.col("n") * MARKED >= total)).select("w").toLocalIterator()}
+    shared = spark.sparkContext.broadcast(model)  # n * MARKED >= total holds for at most MARKED words
+
+    def runs(text: str) -> Iterator[tuple]:
+        for tokens in sentences(text):
+            for run, last in shared.value.runs(tokens):
+                yield " ".join(run), last
+
+    def lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            x["run"] = [[" ".join(r) for r in shared.value.asked(list(t))] for t in x["tokens"]]
+            yield x
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"end": sorted({p for w in x["w"] for p in Endings.prefixes_of(w)})}, columns=["end"], dtype=str)
+
+    schema = "tokens array<string>, named boolean, lower boolean, whole boolean"
+    asking = cut(asking.mapInPandas(lookups, schema + ", run array<string>"))
+    table = answers.mapInPandas(lambda x: _flushed(x, runs, ["run", "last"]), "run string, last boolean, n long").groupBy("run").agg(F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends"), F.sum("n").alias("n")).filter(F.col("n") >= Endings.SEEN)
+    key = ["tokens", "named", "lower", "whole"]
+    hits = asking.select(*key, F.explode("run").alias("run")).join(table, "run").groupBy(*key).agg(F.collect_list(F.struct("run", "ends", "n")).alias("hits"))
+    end = F.element_at("tokens", -1).alias("end")
+    ends = asking.select(end).distinct()
+    begun = ends.join(known.mapInPandas(prefixes, "end string").distinct(), "end").withColumn("prefix", F.lit(True))
+    facts = ends.join(known.select(F.col("w").alias("end"), F.lit(True).alias("known"), "slot"), "end", "left").join(begun, "end", "left")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = Endings()
+        one.marked = shared.value.marked
+        for x in batches:
+            keep = []
+            for tokens, named, lower, whole, found, known, slot, prefix in zip(*(x[c] for c in (*key, "hits", "known", "slot", "prefix"))):
+                tokens = list(tokens)
+                one.known, one.slots, one.prefixes = ({tokens[-1]} if y is True else set() for y in (known, slot, prefix))
+                one.table = {tuple(h["run"].split(" ")): (h["ends"], h["n"] - h["ends"]) for h in (found if found is not None else ())}
+                keep.append(breaks_off(tokens, named, lower, whole, one))
+            yield x.loc[keep, key]
+
+    return asking.select(*key, end).join(facts, "end").join(hits, key, "left").mapInPandas(decide, schema)
+
+
+def defects(df: DataFrame) -> DataFrame:
     """(src_table, row_id, defect) of each defective pair; df: src_table, row_id, question, answer."""
     rows = df.select("src_table", F.col("row_id").cast("long").alias("row_id"), "question", "answer").dropDuplicates(["src_table", "row_id"])
-    model = df.sparkSession.sparkContext.broadcast(train_endings(rows, sample_rows))  # bounded by the sample
+    schema = "src_table string, row_id long, defect string, tokens array<string>, named boolean, lower boolean, whole boolean"
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            x["defect"] = [defect(q, a, model.value) for q, a in zip(x["question"], x["answer"])]
-            yield x.loc[x["defect"].notna(), ["src_table", "row_id", "defect"]]
-
-    return rows.mapInPandas(work, "src_table string, row_id long, defect string")
+            out = []
+            for table, i, q, a in zip(x["src_table"], x["row_id"], x["question"], x["answer"]):
+                found = plain_defect(q, a)
+                seen = last_words(q, a) if found is None else False
+                if seen is True:
+                    found = "truncated"
+                if found or seen:
+                    out.append((table, i, found, *((None,) * 4 if found else seen)))
+            yield pd.DataFrame(out, columns=["src_table", "row_id", "defect", "tokens", "named", "lower", "whole"])
+
+    seen = cut(rows.mapInPandas(work, schema))
+    key = ["tokens", "named", "lower", "whole"]
+    asking = seen.filter(F.col("defect").isNull())
+    answers = df.filter(F.col("answer").isNotNull()).select("answer").distinct()
+    late = asking.join(truncated(asking.select(*key).distinct(), answers), key).select("src_table", "row_id", F.lit("truncated").alias("defect"))
+    return seen.filter(F.col("defect").isNotNull()).select("src_table", "row_id", "defect").union(late)

@@ -69,3 +69,15 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "src_table string, row_id long, question string, answer string").selectExpr("*", "'x' as defect")
     assert {tuple(r) for r in defects(df).collect()} == {("t", 1, "empty"), ("t", 3, "copy")}
     assert defects(df.limit(0)).count() == 0
+
+
+def test_endings_of_all_answers(spark):
+    # copies of one answer fill most rows, and come first in order of their hashes; the rest counts all the same
+    rest = [SENTENCES[k] % n for n in NOUNS for k in range(3)]
+    cut = ["The tool reads the cable first and then writes", "Because the chart is old, the tool has to che", (SENTENCES[0] % "archive")[:-1], "x " * 2_500 + "and so on. You can open the"]
+    answers = ["Every row holds answer 49499 here."] * 20_400 + [a for a in rest for _ in range(2)] + cut
+    df = spark.createDataFrame([("t", i, "Q?", a) for i, a in enumerate(answers)], "src_table string, row_id long, question string, answer string")
+    got = {tuple(r) for r in defects(df).collect()}
+    model = Endings(dict.fromkeys(answers))
+    want = {("t", i, d) for i, a in enumerate(answers) if (d := defect("Q?", a, model))}
+    assert got == want and {i - len(answers) for _, i, _ in got} == {-4, -3, -1}
