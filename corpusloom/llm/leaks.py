@@ -217,12 +217,15 @@ def passage(a: list[bytes], b: list[bytes], least: int) -> bool:
     """Whether b holds ``least`` running words of a, at most one changed in ten, ends included.
 
     Maximal runs of equal words are chained; a gap costs the larger number of
-    words that it skips on either side.
+    words that it skips on either side.  A chain is dropped only where another
+    starts no later at no more cost, or where the rest of a can't make up for
+    its cost; so no more than a tenth of a's words remain at a run.
     """
     at: dict[bytes, list[int]] = {}
     for j, w in enumerate(b):
         at.setdefault(w, []).append(j)
-    runs = []
+    # chains that end before a place in (a, b): (start in a, changed words so far)
+    best: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, w in enumerate(a):
         for j in at.get(w, ()):
             if i and j and a[i - 1] == b[j - 1]:
@@ -232,23 +235,19 @@ def passage(a: list[bytes], b: list[bytes], least: int) -> bool:
                 n += 1
             if n >= least:
                 return True
-            if n >= 2:
-                runs.append((i, j, n))
-    # best[r]: chains that end with run r, as (start in a, changed words so far)
-    best: list[list[tuple[int, int]]] = []
-    for x, (i, j, n) in enumerate(runs):
-        chains = [(i, 0)]
-        for y in range(x):
-            p, q, m = runs[y]
-            gap_a, gap_b = i - (p + m), j - (q + m)
-            if gap_a < 0 or gap_b < 0 or max(gap_a, gap_b) > 4:
-                continue
-            chains += [(start, cost + max(gap_a, gap_b)) for start, cost in best[y]]
-        for start, cost in chains:
-            size = i + n - start
-            if size >= least and 10 * cost <= size:
-                return True
-        best.append(sorted(chains)[:16])
+            chains = [(i, 0)]
+            for x in range(5):
+                for y in range(5):
+                    chains += [(start, cost + max(x, y)) for start, cost in best.get((i - x, j - y), ())]
+            chains.sort()
+            front: list[tuple[int, int]] = []
+            for start, cost in chains:
+                if (not front or cost < front[-1][1]) and 10 * cost <= len(a) - start:
+                    size = i + n - start
+                    if size >= least and 10 * cost <= size:
+                        return True
+                    front.append((start, cost))
+            best[i + n, j + n] = front
     return False
 
 

@@ -151,6 +151,52 @@ def test_passage(b, found):
     assert leaks.passage([w.encode() for w in "a b c d e f g h i j k l m".split()], [w.encode() for w in b.split()], 12) is found
 
 
+def test_passage_after_many_changed_runs():
+    a = [b"%d" % i for i in range(40)]
+    for runs in range(9):
+        b = [b"x" if i < 3 * runs and i % 3 == 2 or i == 3 * runs + 7 else w for i, w in enumerate(a)][: 3 * runs + 15]
+        assert leaks.passage(a, b, 12), runs
+
+
+@pytest.mark.parametrize("n", [12, 13])
+def test_passage_with_one_changed_word(n):
+    a = [b"%d" % i for i in range(n)]
+    assert [k for k in range(1, n - 1) if not leaks.passage(a, [b"x" if i == k else w for i, w in enumerate(a)], 12)] == []
+
+
+def all_chains(a, b, least):
+    """passage() without dropping anything."""
+    best = {}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] != b[j]:
+                continue
+            chains = {(i, 0)}
+            for (p, q), before in list(best.items()):
+                x, y = i - p - 1, j - q - 1
+                if 0 <= x <= 4 and 0 <= y <= 4:
+                    chains |= {(s, c + max(x, y)) for s, c in before if c + max(x, y) <= len(a)}
+            if any(i + 1 - s >= least and 10 * c <= i + 1 - s for s, c in chains):
+                return True
+            best[i, j] = chains
+    return False
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(12, 26), st.lists(st.tuples(st.integers(0, 25), st.sampled_from(["change", "drop", "add"])), max_size=5))
+def test_passage_equals_all_chains(n, edits):
+    a = [b"%d" % i for i in range(n)]
+    b = list(a)
+    for at, kind in edits:
+        if kind == "change":
+            b[at % len(b)] = b"x"
+        elif kind == "add":
+            b.insert(at % len(b), b"x")
+        else:
+            del b[at % len(b)]
+    assert leaks.passage(a, b, 12) is all_chains(a, b, 12)
+
+
 def test_stream_joins_hyphens():
     raw = np.frombuffer("the salt-stained, half‑burnt ob-\nject's “end”".encode(), np.uint8)
     assert bytes(leaks.stream(raw)[0]).split() == [b"the", b"saltstained", b"halfburnt", b"objects", b"end"]
