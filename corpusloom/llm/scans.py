@@ -36,7 +36,7 @@ TRAIN_WORDS = 2_000
 LEXICON_LEAST = 2  # times that a word of the lexicon occurs in unbroken texts
 FLUSH = 200_000
 PROPOSALS = 60
-SHARE = 0.02  # a misread form is rarer than this share of the word that it should be
+SHARE = 0.1  # a misread form isn't more frequent than this share of the word that it should be, as far as its count can tell
 BREAK = "\x1f"  # between the parts of a broken word
 
 HYPHENS = "-­‐‑¬"
@@ -370,29 +370,30 @@ def findings(text: str, title: list[str], common: set[str]) -> Iterator[tuple[in
 
 
 def lexicon_of(texts: DataFrame) -> DataFrame:
-    """(word, n): words of the texts without line breaks, counted map-side first."""
+    """(word, n, total): words of the texts without line breaks, how often they stand there, and in all texts with copies of a text counted once."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
+        counts: dict[int, Counter[str]] = defaultdict(Counter)  # by the copies that texts without line breaks have
         for x in batches:
-            for t in x["text"]:
-                counts.update(t.lower().split())
-            if len(counts) > FLUSH:
-                yield _counted(counts)
+            for t, copies in zip(x["text"], x["copies"]):
+                counts[0 if "\n" in t else copies].update(t.lower().split())
+            if sum(map(len, counts.values())) > FLUSH:
+                yield from (_counted(c, copies) for copies, c in counts.items())
                 counts.clear()
-        yield _counted(counts)
+        yield from (_counted(c, copies) for copies, c in counts.items())
 
-    whole = texts.filter(~F.col("text").contains("\n")).select("text")
-    return whole.mapInPandas(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEXICON_LEAST)
+    once = texts.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    return once.mapInPandas(work, "word string, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).filter(F.col("n") >= LEXICON_LEAST)
 
 
-def _counted(counts: Counter) -> pd.DataFrame:
+def _counted(counts: Counter, copies: int) -> pd.DataFrame:
     words: Counter[str] = Counter()
     for w, n in counts.items():
         w = bare(w)
         if w and has_letter(w):
             words[w] += n
-    return pd.DataFrame({"word": list(words.keys()), "n": list(words.values())}, columns=["word", "n"]).astype({"word": str, "n": "int64"})
+    x = pd.DataFrame({"word": list(words.keys()), "total": list(words.values())}, columns=["word", "total"]).astype({"word": str, "total": "int64"})
+    return x.assign(n=x["total"] * copies)[["word", "n", "total"]]
 
 
 def damages(texts: DataFrame, common_words: int = COMMON_WORDS, train_words: int = TRAIN_WORDS) -> DataFrame:
@@ -410,7 +411,9 @@ def damages(texts: DataFrame, common_words: int = COMMON_WORDS, train_words: int
 
     broken = texts.filter(F.col("text").contains("\n")).dropDuplicates(["src_table", "row_id"])
     found = cut(broken.select("src_table", "row_id", "doc", "text").mapInPandas(find, "src_table string, row_id string, line_no int, kind string, token string, sign string"))
-    odd = found.filter(F.col("kind").isin("word", "break")).groupBy("kind", "token").agg(F.count(F.lit(1)).alias("n"), F.min("sign").alias("sign"))
+    # A form counts once however many copies of its text there are: in the first row of each text.
+    first = broken.groupBy(F.sha2("text", 256)).agg(F.min(F.struct("src_table", "row_id")).alias("r")).select("r.*", F.lit(1).alias("first"))
+    odd = found.filter(F.col("kind").isin("word", "break")).join(first, ["src_table", "row_id"], "left").groupBy("kind", "token").agg(F.count("first").alias("n"), F.min("sign").alias("sign"))
     odd = cut(odd)
 
     # Training, on bounded samples.
@@ -454,8 +457,8 @@ def damages(texts: DataFrame, common_words: int = COMMON_WORDS, train_words: int
 
     proposed = odd.mapInPandas(propose, "kind string, token string, often long, word string, loss double, role int")
     known = proposed.join(lexicon, "word", "left").filter((F.col("n").isNotNull()) | (F.col("role") == 3))
-    # A form too frequent to be a misreading of the word is a word of its own.
-    known = known.filter((F.col("kind") == "break") | (F.col("loss") == 0) | (F.col("often") <= F.greatest(F.lit(2.0), F.col("n") * SHARE)))
+    # A form too frequent to be a misreading of the word is a word of its own; twice the deviation of its count is allowed for.
+    known = known.filter((F.col("kind") == "break") | (F.col("loss") == 0) | (F.col("often") - 2 * F.sqrt("often") <= F.col("total") * SHARE))
     value = F.struct((F.col("loss") - F.log1p(F.coalesce("n", F.lit(0))) * 0.12).alias("cost"), "word")
     best = (
         known.groupBy("kind", "token")

@@ -32,6 +32,23 @@ def test_damages_and_paragraphs(spark):
     assert scans.damages(df.limit(0)).count() == 0
 
 
+def test_copies_and_size_do_not_hide_misread_words(spark):
+    page = "Every transcr1pt was\nkept here"
+    for copies, times in ((60, 1), (1, 1), (1, 10)):
+        rows = [("t", f"c{i}", None, f"{s} {i}") for i, s in enumerate(CLEAN * 20 * times)]
+        scanned = [page] * copies + [f"A transcr1pt number {i}\nwas kept" for i in range(2 * times)]
+        rows += [("t", f"s{i}", None, s) for i, s in enumerate(scanned)]
+        found = scans.damages(spark.createDataFrame(rows, "src_table string, row_id string, doc string, text string"))
+        hits = {r["row_id"] for r in found.collect() if r["repaired"] == "transcript"}
+        assert hits == {f"s{i}" for i, s in enumerate(scanned) if "transcr1pt" in s}
+
+
+def test_a_frequent_word_is_no_misread_word(spark):
+    rows = [("t", f"c{i}", None, f"the man {i} is old") for i in range(40)] + [("t", f"s{i}", None, f"the map {i}\nis old") for i in range(20)]
+    found = scans.damages(spark.createDataFrame(rows, "src_table string, row_id string, doc string, text string"))
+    assert [r for r in found.collect() if r["defect"] == "misread"] == []
+
+
 @pytest.mark.parametrize("lines, kinds", [(["17", "text here", "xiv"], ["page_number", "", "page_number"]), (["page 3 of 90", "", "a"], ["page_number", "blank", ""]), (["THE BLUE WINDOW   12", "Blue Window — Author", "the blue window is open."], ["header", "header", ""])])
 def test_furniture(lines, kinds):
     assert scans.furniture(lines, ["blue", "window"]) == kinds
