@@ -185,3 +185,18 @@ def test_writers(spark, tmp_path, staff):
     notes = spark.createDataFrame([("s", 2, "q", "n"), ("s", 1, None, "m")], "source string, para_idx int, quote string, note string")
     assert writers.annotation_lines(notes).first()[0].startswith("## s\n[1] ")
     assert writers.metrics(staff.agg(F.count("*").alias("n"))).first()["value"] == "4"
+
+
+def test_best_match_compares_all_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_300, 8)).astype(np.float32)
+    label = np.where(np.arange(len(x)) < 1_700, "a", np.where(np.arange(len(x)) < 3_280, "b", "c"))
+    df = spark.createDataFrame([(int(i), str(g), v.tolist()) for i, (g, v) in enumerate(zip(label, x))], "id long, g string, v array<float>")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {}
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        s = unit[label == a] @ unit[label == b].T
+        want[a, b] = pytest.approx((s.max(axis=1).mean() + s.max(axis=0).mean()) / 2, abs=6e-5)
+    assert {(r["a"], r["b"]): r["score"] for r in R.best_match(df, "g", "id", "v").collect()} == want
+    pair = spark.createDataFrame([("c", "a")], "a string, b string")
+    assert [r["score"] for r in R.best_match(df, "g", "id", "v", pairs=pair).collect()] == [want["a", "c"]]
