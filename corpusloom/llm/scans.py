@@ -35,7 +35,8 @@ COMMON_WORDS = 20_000
 TRAIN_WORDS = 2_000
 LEXICON_LEAST = 2  # times that a word of the lexicon occurs in unbroken texts
 FLUSH = 200_000
-PROPOSALS = 60
+PROPOSALS = 60  # looked up first; words without a hit are looked up the other way, among all words near them
+CHANGES = 3  # of a word looked up that way
 SHARE = 0.1  # a misread form isn't more frequent than this share of the word that it should be, as far as its count can tell
 BREAK = "\x1f"  # between the parts of a broken word
 
@@ -291,6 +292,73 @@ class Editor:
         return sorted(out.items(), key=lambda x: (x[1], x[0]))[:most]
 
 
+    def loss(self, noisy: str, word: str, most: int = CHANGES) -> float | None:
+        """The least loss of turning a noisy word into this word by up to ``most`` changes, if it can be."""
+        noisy = unicodedata.normalize("NFKC", noisy)
+        states: list[dict[tuple[int, int], float]] = [{} for _ in range(len(noisy) + 1)]  # by place: (place in word, changes), loss
+        states[0][0, 0] = 0.0
+
+        def put(i: int, key: tuple[int, int], loss: float) -> None:
+            if loss < states[i].get(key, 1e9):
+                states[i][key] = loss
+
+        for i, ch in enumerate(noisy):
+            here = states[i]
+            if not here:
+                continue
+            changes = [(len(shape), op, 1.2) for shape, op in MERGES if noisy.startswith(shape, i)]
+            if rivals := self.options.get(ch):
+                around = _around(noisy, i)
+                keep = self.model.score(around, "=")
+                changes += [(1, op, 1.0 + max(0.0, keep - self.model.score(around, op))) for op in rivals]
+            for (j, k), loss in here.items():
+                if word.startswith(ch, j):
+                    put(i + 1, (j + 1, k), loss)
+                if k < most:
+                    for n, op, more in changes:
+                        if word.startswith(op, j):
+                            put(i + n, (j + len(op), k + 1), loss + more)
+        return min((x for (j, _), x in states[-1].items() if j == len(word)), default=None)
+
+
+def depth(word: str) -> int:
+    """Edits within which a word without a proposal in the lexicon is looked up: none for short ones, whose changes are all proposed."""
+    return 0 if len(word) < 5 else 2 if len(word) < 8 else CHANGES
+
+
+def forms(kind: str, token: str) -> set[str]:
+    """What a finding may stand for before it is edited."""
+    return {token.replace(BREAK, "")} if kind == "break" else {token, bare(token)} - {""}
+
+
+def looked_up(missing: DataFrame, lexicon: DataFrame, model) -> DataFrame:
+    """(kind, token, often, word, loss, role) of all lexicon words within depth() edits that the editor's changes lead to.
+
+    Words within k edits of each other have a form in common that deletes k characters or less.
+    """
+
+    def of_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = [(k, t, n, f, d) for k, t, n in zip(x["kind"], x["token"], x["n"]) for f in forms(k, t) if depth(f) for d in _deletions(f, depth(f))]
+            yield pd.DataFrame(rows, columns=["kind", "token", "often", "form", "part"])
+
+    def of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame([(w, d) for w in x["word"] for d in _deletions(w, depth(w) or 1)], columns=["word", "part"])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        editor = model.value[0]
+        for x in batches:
+            x["loss"] = [editor.loss(f, w, depth(f)) for f, w in zip(x["form"], x["word"])]
+            x = x[x["loss"].notna()]
+            yield x.assign(loss=x["loss"].astype(float) + 0.2 * (x["kind"] == "break"), role=0)[["kind", "token", "often", "word", "loss", "role"]]
+
+    a = missing.mapInPandas(of_tokens, "kind string, token string, often long, form string, part string").withColumn("part", F.xxhash64("part"))
+    b = lexicon.filter(F.length("word") > 3).select("word").mapInPandas(of_words, "word string, part string").withColumn("part", F.xxhash64("part"))
+    near = a.join(b, "part").select("kind", "token", "often", "form", "word").distinct()
+    return near.mapInPandas(score, "kind string, token string, often long, word string, loss double, role int")
+
+
 def _deletions(word: str, depth: int) -> set[str]:
     out = {word}
     layer = {word}
@@ -456,7 +524,9 @@ def damages(texts: DataFrame, common_words: int = COMMON_WORDS, train_words: int
             yield y
 
     proposed = odd.mapInPandas(propose, "kind string, token string, often long, word string, loss double, role int")
-    known = proposed.join(lexicon, "word", "left").filter((F.col("n").isNotNull()) | (F.col("role") == 3))
+    known = cut(proposed.join(lexicon, "word", "left").filter((F.col("n").isNotNull()) | (F.col("role") == 3)))
+    missing = odd.select("kind", "token", "n").join(known.filter("role = 0"), ["kind", "token"], "left_anti")
+    known = known.unionByName(looked_up(missing, lexicon, model).join(lexicon, "word"))
     # A form too frequent to be a misreading of the word is a word of its own; twice the deviation of its count is allowed for.
     known = known.filter((F.col("kind") == "break") | (F.col("loss") == 0) | (F.col("often") - 2 * F.sqrt("often") <= F.col("total") * SHARE))
     value = F.struct((F.col("loss") - F.log1p(F.coalesce("n", F.lit(0))) * 0.12).alias("cost"), "word")

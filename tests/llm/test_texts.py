@@ -49,6 +49,22 @@ def test_a_frequent_word_is_no_misread_word(spark):
     assert [r for r in found.collect() if r["defect"] == "misread"] == []
 
 
+def test_words_beyond_the_proposals_are_looked_up(spark):
+    rows = [("t", f"c{i}", None, f"{s} {i}") for i, s in enumerate(CLEAN * 4)]
+    rows += [("t", "three", None, "The sfafisfical note\nis old"), ("t", "broken", None, "The sfafis-\nfical note is old"), ("t", "none", None, "The sfafisficxl note\nis old")]
+    found = scans.damages(spark.createDataFrame(rows, "src_table string, row_id string, doc string, text string"))
+    got = {(r["row_id"], r["defect"], r["repaired"]) for r in found.collect() if r["repaired"] == "statistical"}
+    assert got == {("three", "misread", "statistical"), ("broken", "hyphen", "statistical")}
+
+
+def test_loss_is_that_of_the_cheapest_proposal():
+    editor = scans.Editor([("transcr1pt", "transcript"), ("docurnent", "document")] * 3, ["transcript", "document"])
+    for noisy in ("sfatistlcal", "docurnenf", "vvindow", "annotatlon"):
+        for word, loss in editor.proposals(noisy, 9_999):
+            assert editor.loss(noisy, word, 3) == pytest.approx(loss) or editor.loss(noisy, word, 3) < loss
+    assert editor.loss("sfafisfical", "statistical", 2) is None and editor.loss("sfafisfical", "statistical", 3) > 0
+
+
 @pytest.mark.parametrize("lines, kinds", [(["17", "text here", "xiv"], ["page_number", "", "page_number"]), (["page 3 of 90", "", "a"], ["page_number", "blank", ""]), (["THE BLUE WINDOW   12", "Blue Window — Author", "the blue window is open."], ["header", "header", ""])])
 def test_furniture(lines, kinds):
     assert scans.furniture(lines, ["blue", "window"]) == kinds
