@@ -1,7 +1,7 @@
 """Noise in text from scanned pages: furniture, broken words, misread words.
 
 Method.  Page furniture (running headers, page numbers) is told by features of
-the line and its position on the page.  What is left is edited by averaged
+the line and its neighbours; its place on the page isn't used.  What is left is edited by averaged
 perceptrons trained here: one predicts for each character of a suspicious word
 to keep, replace, delete or insert, one predicts for each line end to join the
 word (with or without its hyphen) or not.  The words that the editor proposes
