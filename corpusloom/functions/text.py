@@ -242,3 +242,28 @@ def route(text: Column) -> Column:
     """CODE, MULTILINGUAL or GENERAL, from a model's answer; CODE wins."""
     up = F.upper(text)
     return F.when(F.contains(up, F.lit("CODE")), "CODE").when(F.contains(up, F.lit("MULTILINGUAL")), "MULTILINGUAL").otherwise("GENERAL")
+
+
+_END = "\u0001"
+
+
+def reflowed(text: Column) -> Column:
+    """Hard-wrapped lines joined to paragraphs, with a blank line between those.
+
+    Lines of a bare number of up to four digits are left out.  A paragraph ends
+    at an empty line, and after a line that ends a sentence and is shorter than
+    0.6 of the usual length (the median of lines above 20 characters, 80
+    without any).  A hyphen before a line end and a small letter is undone.
+    """
+    lines = F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), strip)
+    long = F.array_sort(F.filter(F.transform(lines, F.length), lambda n: n > 20))
+    half = F.size(long)
+    middle = (F.get(long, F.floor((half - 1) / 2).cast("int")) + F.get(long, F.floor(half / 2).cast("int"))) / 2
+    usual = F.coalesce(middle, F.lit(80.0))
+    marked = F.transform(
+        F.filter(lines, lambda x: ~x.rlike(r"^[0-9]{1,4}$")),
+        lambda x: F.when(x == "", F.lit(_END)).when((F.length(x) < 0.6 * usual) & x.rlike("[.!?:\"”’)\\]]$"), F.concat(x, F.lit("\n" + _END))).otherwise(x),
+    )
+    x = F.regexp_replace(F.array_join(marked, "\n"), r"-\n(\p{Ll})", "$1")
+    x = F.regexp_replace(F.regexp_replace(x, f"\n*{_END}[\n{_END}]*", _END), "\n", " ")
+    return F.replace(F.regexp_replace(x, f"^{_END}|{_END}$", ""), F.lit(_END), F.lit("\n\n"))

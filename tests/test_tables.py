@@ -110,21 +110,52 @@ def test_answers(spark):
     assert got[3] == ("guess", ["model", "retry 1", "retry 2", "unverified"])
 
 
-def test_characters():
-    base = {"gender": None, "title": None, "lower": 0, "paras": [1]}
-    rows = [{"text": "Ann Lee", "core": ["Ann", "Lee"], "count": 5} | base, {"text": "Bo Lee", "core": ["Bo", "Lee"], "count": 4} | base, {"text": "Lee", "core": ["Lee"], "count": 9} | base, {"text": "Ann", "core": ["Ann"], "count": 3} | base, {"text": "Mark", "core": ["Mark"], "count": 3, "gender": None, "title": None, "lower": 9, "paras": []}]
-    got = {r["canonical"]: r for r in L.characters(rows)}
-    assert got["Ann Lee"]["count"] == 8 and got["Lee"]["ambiguous"] and set(got["Lee"]["candidates"]) == {"Ann Lee", "Bo Lee"} and "Mark" not in got
-    assert L.characters([]) == []
-
-
-def test_topics():
-    pieces = ["red apple fruit garden " * 3, "apple fruit tree garden " * 3, "engine wheel motor road " * 3, "motor engine road car " * 3, "wheel car motor road " * 2]
-    found = L.topics(pieces, [], 2)
-    assert {"engine", "motor", "road"} & set(found[0][2]) and sum(f[1] for f in found) == pytest.approx(1, abs=0.01)
-    assert L.topics(pieces[:3], []) == []
-    w, h = L.nmf(np.abs(np.random.default_rng(0).normal(size=(8, 6))), 3)
-    assert (w >= 0).all() and (h >= 0).all()
+def test_characters(spark):
+    rows = [("p", "Ann Lee", 5, 0, [1]), ("p", "Bo Lee", 4, 0, [2, 1]), ("p", "Lee", 9, 0, None), ("p", "Ann", 3, None, [3]), ("p", "Mark", 3, 9, [1]), ("p", None, 9, 0, [1]), ("q", "Mrs Lee", 3, 0, [4]), ("q", "Mr Lee", 4, 0, [4]), ("q", "Lee", 1, 0, [5])]
+    df = spark.createDataFrame([(p, t, "PERSON", n, low, q) for p, t, n, low, q in rows], "project string, text string, label string, mention_count int, lower_count int, paras array<int>")
+    got = {(r["project"], r["canonical"]): r for r in L.project_characters(df).collect()}
+    assert set(got) == {("p", "Ann Lee"), ("p", "Bo Lee"), ("p", "Lee"), ("q", "Mr Lee"), ("q", "Mrs Lee")}
+    ann = got["p", "Ann Lee"]
+    assert (ann["count"], ann["paras"], ann["tokens"], [tuple(a) for a in ann["aliases"]]) == (8, [1, 3], ["ann", "lee"], [("Ann Lee", 5), ("Ann", 3)])
+    assert got["p", "Lee"]["ambiguous"] and got["p", "Lee"]["candidates"] == ["Ann Lee", "Bo Lee"]
+    assert got["q", "Mr Lee"]["count"] == 5 and got["q", "Mrs Lee"]["gender"] == "f"
+    assert L.project_characters(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("a, b, others, yes", [(["ann", "lee"], ["ann", "lee", "may"], [], True), (["ann", "lee"], ["ann", "ray"], [], False), (["ann"], ["ann", "ray"], [["ann", "lee"]], True), (["kit"], ["ann", "ray"], [], True), (["kit"], ["ann", "ray"], [["kit", "lee"]], False)])
+def test_merges_that_are_possible(a, b, others, yes):
+    assert L.may_merge(a, b, others) is yes
+
+
+def test_decisions_on_characters():
+    c = lambda name, freq, *tokens: {"name": name, "aliases": [name], "freq": freq, "paras": [freq], "tokens": list(tokens), "ambiguous": False}
+    got = L.decided_characters([c("Ann Lee", 10, "ann", "lee"), c("Bo Ray", 6, "bo", "ray"), c("Ann", 3, "ann"), c("Table", 2, "table")], {"merge": [[1, 3], [1, 2], "x", [9, 1]], "discard": [4, 2, "1"], "descriptions": {"1": "'a reader'", "2": "x" * 161, "9": "y"}})
+    assert [(x["name"], x["freq"], x["desc"]) for x in got] == [("Ann Lee", 13, "a reader"), ("Bo Ray", 6, "")] and got[0]["paras"] == [3, 10]
+    assert L.decided_characters([], {"discard": None}) == []
+
+
+def test_topics(spark):
+    pieces = ["red apple fruit garden " * 3, "apple fruit tree garden " * 3, "engine wheel motor road " * 3, "motor engine road car " * 3, "wheel car motor road " * 2, ""]
+    df = spark.createDataFrame([(1, i, 0, p) for i, p in enumerate(pieces)] + [(2, 0, 0, "too short"), (3, 0, 0, None)], "doc_id long, para int, piece int, chunk string")
+    found = L.document_topics(df).collect()
+    assert {r["doc_id"] for r in found} == {1} and found == sorted(found, key=lambda r: -r["share"])
+    assert any({"engine", "motor", "road"} <= set(r["words"]) and r["paras"][0] in (2, 3, 4) for r in found) and sum(r["share"] for r in found) == pytest.approx(1, abs=0.01)
+    assert all(r["weights"] == sorted(r["weights"], reverse=True) for r in found)
+    words = spark.createDataFrame([(1, w, 5) for w in "engine motor road wheel car".split()], "doc_id long, word string, freq long")
+    known = L.known_topics(L.document_topics(df), words).collect()
+    assert known and all(set(r["related"]) <= {"engine", "motor", "road", "wheel", "car"} and r["freq"] == 5 * len(r["related"]) for r in known)
+    said = spark.createDataFrame([(1, '{"clusters":[{"name":"Cars","related":["engine","unicorn","road"]},{"name":"None","related":["unicorn"]}]}'), (1, "no JSON"), (2, None)], "doc_id long, answer string")
+    assert [tuple(r) for r in L.proposed_topics(said, words).collect()] == [(1, "Cars", "engine", ["engine", "road"], 10)]
+    assert L.document_topics(df.limit(0)).count() == 0
+
+
+def test_factors_are_those_of_the_matrix():
+    rng = np.random.default_rng(0)
+    a, b = np.abs(rng.normal(size=(12, 3))), np.abs(rng.normal(size=(9, 3)))
+    x = a @ b.T
+    i, j = np.nonzero(x)
+    w, h = L.nmf(L.Sparse(i, j, x[i, j]), 3)
+    assert (w >= 0).all() and (h >= 0).all() and np.linalg.norm(x - w @ h.T) < 0.05 * np.linalg.norm(x)
 
 
 def test_regression_finds_its_formula(spark):
@@ -200,3 +231,43 @@ def test_best_match_compares_all_vectors(spark):
     assert {(r["a"], r["b"]): r["score"] for r in R.best_match(df, "g", "id", "v").collect()} == want
     pair = spark.createDataFrame([("c", "a")], "a string, b string")
     assert [r["score"] for r in R.best_match(df, "g", "id", "v", pairs=pair).collect()] == [want["a", "c"]]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><tr><th>City</th><td>Paris</td><td>1900</td></tr></table>", "City\n\nParis\n\n1900"), ("a<!-- <p> -->b<br>c", "ab\n\nc"), ("<nav><nav>x</nav>y</nav>z", "z"), ("<script>if (a<b) {'</p>'}</script>t", "t"),
+        ("<svg/>t<form>u", "t"), ("1 < 2 &lt;p&gt; <b>x</b>y", "1 < 2 <p> xy"), ("", ""), ("<p title='a>b'>c", "c"), ("</nav>t", "t"),
+    ],
+)
+def test_html(page, want):
+    assert readers.html_text(page) == want
+
+
+@pytest.mark.parametrize("data, want", [(b"", ""), ("é".encode(), "é"), (b"\xef\xbb\xbf" + "é".encode(), "é"), (b"\xff\xfea\x00", "a"), (b"\xfe\xff\x00a", "a"), (b"caf\xe9", "café")])
+def test_decode(data, want):
+    assert readers.decode(data) == want
+
+
+def pdf(*contents: bytes) -> bytes:
+    """A plain PDF file with a page for each content stream."""
+    import zlib
+
+    kids = b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(contents)))
+    out = b"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [" + kids + b"]>> endobj\n3 0 obj <</Type /Font>> endobj\n"
+    for i, c in enumerate(contents):
+        packed = zlib.compress(c)
+        out += b"%d 0 obj <</Type /Page /Contents %d 0 R /Resources <</Font <</F1 3 0 R>>>>>> endobj\n" % (4 + 2 * i, 5 + 2 * i)
+        out += b"%d 0 obj <</Filter /FlateDecode /Length %d>> stream\n%b\nendstream endobj\n" % (5 + 2 * i, len(packed), packed)
+    return out + b"trailer <</Root 1 0 R>>"
+
+
+def test_pdf(spark, tmp_path):
+    first = b"BT /F1 12 Tf 72 700 Td (The archive holds many hand-) Tj 0 -14 Td [(written)-300(notes \\(old\\) and caf\\351)] TJ ET"
+    (tmp_path / "a.pdf").write_bytes(pdf(first, b"BT (1) Tj ET", b"BT <5468652073> Tj (econd page) Tj 1 0 Td (goes on here.) Tj ET"))
+    (tmp_path / "empty.pdf").write_bytes(pdf(b"BT ET"))
+    (tmp_path / "locked.pdf").write_bytes(b"%PDF-1.4 trailer <</Encrypt 9 0 R>>")
+    (tmp_path / "bad.pdf").write_bytes(b"no")
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in readers.documents(spark, str(tmp_path)).collect()}
+    assert got["a.pdf"] == ("The archive holds many handwritten notes (old) and café The second page goes on here.", None)
+    assert got["empty.pdf"] == (None, "no extractable text") and got["locked.pdf"] == (None, "encrypted") and got["bad.pdf"] == (None, "not a PDF file")

@@ -77,10 +77,11 @@ def test_cover_covers_all_that_can_be(paras):
     assert all(set(p) & required for p in paras if p)
 
 
-def test_reflow():
+def test_reflow(spark):
     text = "This is a line that was wrap-\nped by hand in a file of text\nand ends.\n12\n\nNext one."
-    assert S.reflow_text(text) == "This is a line that was wrapped by hand in a file of text and ends.\n\nNext one."
-    assert S.reflow_text("") == ""
+    cases = {text: "This is a line that was wrapped by hand in a file of text and ends.\n\nNext one.", "": "", " \n ": "", None: None, "One-\nTwo\r\nthree": "One- Two three", "A short end.\nand the next line is a long one that goes on": "A short end.\n\nand the next line is a long one that goes on"}
+    got = one(spark, T.reflowed, *cases)
+    assert got == list(cases.values())
 
 
 def test_sessions_of_words_stay_in_the_document(spark):
