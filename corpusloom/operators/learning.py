@@ -15,7 +15,7 @@ from corpusloom.functions import text as T
 
 # ---------------------------------------------------------------- topics
 
-ROUNDS = 12  # of subspace iteration for the start of a factorisation
+ROUNDS = 6  # of subspace iteration for the start of a factorisation
 TOP_WORDS, TOP_PARAS = 10, 5
 
 
@@ -23,16 +23,28 @@ class Sparse:
     """A sparse matrix by its entries, as products with thin matrices need it."""
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray):
-        self.rows, self.cols, self.values = rows, cols, values
-        self.shape = (int(rows.max()) + 1, int(cols.max()) + 1)
+        self.values, self.shape = values, (int(rows.max()) + 1, int(cols.max()) + 1)
+        self.by_row, self.by_col = self._sorted(rows, cols), self._sorted(cols, rows)
+
+    def _sorted(self, main: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(main, kind="stable")
+        held, first = np.unique(main[order], return_index=True)
+        return other[order], self.values[order][:, None], held, first
+
+    @staticmethod
+    def _product(side: tuple[np.ndarray, ...], size: int, m: np.ndarray) -> np.ndarray:
+        other, values, held, first = side
+        out = np.zeros((size, m.shape[1]))
+        out[held] = np.add.reduceat(values * m[other], first, axis=0)
+        return out
 
     def dot(self, h: np.ndarray) -> np.ndarray:
         """self @ h"""
-        return np.stack([np.bincount(self.rows, self.values * h[self.cols, j], self.shape[0]) for j in range(h.shape[1])], axis=1)
+        return self._product(self.by_row, self.shape[0], h)
 
     def tdot(self, w: np.ndarray) -> np.ndarray:
         """self.T @ w"""
-        return np.stack([np.bincount(self.cols, self.values * w[self.rows, j], self.shape[1]) for j in range(w.shape[1])], axis=1)
+        return self._product(self.by_col, self.shape[1], w)
 
 
 def leading(x: Sparse, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,14 +73,14 @@ def nmf(x: Sparse, k: int, steps: int = 500, tolerance: float = 1e-4) -> tuple[n
     for step in range(steps):
         xt = x.tdot(w)
         h *= xt / (h @ (w.T @ w) + 1e-12)
-        xh = x.dot(h)
-        w *= xh / (w @ (h.T @ h) + 1e-12)
+        xh, hh = x.dot(h), h.T @ h
         if step % 10 == 0:
-            error = math.sqrt(max(0.0, whole - 2 * float((x.dot(h) * w).sum()) + float(((w.T @ w) * (h.T @ h)).sum())))
+            error = math.sqrt(max(0.0, whole - 2 * float((xh * w).sum()) + float(((w.T @ w) * hh).sum())))
             first = error if first is None else first
             if last is not None and last - error < tolerance * first:
                 break
             last = error
+        w *= xh / (w @ hh + 1e-12)
     return w, h
 
 
@@ -76,40 +88,51 @@ def topic_count(pieces: int) -> int:
     return int(max(3, min(8, round(math.sqrt(pieces) / 1.6))))
 
 
-def weighted_terms(chunks: DataFrame, key: str, stopwords: Sequence[str]) -> DataFrame:
-    """key, piece_no, para, pieces, word, weight: sublinear TF-IDF of the pieces of each document.
+def counted_terms(chunks: DataFrame, key: str, stopwords: Sequence[str]) -> DataFrame:
+    """key, piece_no, para, pieces, word, n: words of three letters or more of each piece, of documents of four pieces or more.
 
-    Rows are dealt out by document once; counts, frequencies and numbers of
-    pieces are then local to a partition.
+    Rows are dealt out by document once; all counts are then local to a partition.
     """
-    at = chunks.repartition(key).withColumn("piece_no", F.row_number().over(Window.partitionBy(key).orderBy("para", "piece")) - 1)
-    pieces = at.withColumn("pieces", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    words = F.filter(F.regexp_extract_all(F.lower("chunk"), F.lit(r"(?U)(?<!\w)\p{L}{3,}(?!\w)"), 0), lambda w: ~w.isin(list(stopwords)))
-    counted = pieces.filter("pieces >= 4").select(key, "piece_no", "para", "pieces", F.explode(words).alias("word")).groupBy(key, "piece_no", "para", "pieces", "word").agg(F.count(F.lit(1)).alias("n"))
-    held = counted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(key, "word")))
-    kept = held.filter((F.col("df") >= F.when(F.col("pieces") >= 20, 2).otherwise(1)) & (F.col("df") <= 0.6 * F.col("pieces")))
-    raw = (1 + F.log("n")) * (F.log((1 + F.col("pieces")) / (1 + F.col("df"))) + 1)
-    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key, "piece_no")))
-    return kept.select(key, "piece_no", "para", "pieces", "word", (raw / norm).alias("weight"))
+    numbered = F.row_number().over(Window.partitionBy(key).orderBy("para", "piece")) - 1
+    pieces = chunks.repartition(key).withColumn("piece_no", numbered).withColumn("pieces", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    words = F.regexp_extract_all(F.lower("chunk"), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{3,}(?![\p{L}\p{N}_])"), 0)
+    each = pieces.filter("pieces >= 4").select(key, "piece_no", "para", "pieces", F.explode(words).alias("word")).filter(~F.col("word").isin(list(stopwords)))
+    return each.groupBy(key, "piece_no", "para", "pieces", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def topics(terms: pd.DataFrame, k: int | None = None) -> list[tuple[int, float, list[str], list[float], list[int]]]:
-    """(topic, share, words, their weights, paragraphs) of one document's rows of weighted_terms(), largest share first."""
+def tfidf_matrix(terms: pd.DataFrame) -> tuple[Sparse | None, np.ndarray]:
+    """(matrix of pieces by words, words): sublinear TF-IDF with rows of length 1, of words in at most 0.6 of the pieces (and in two of them, from 20 pieces on)."""
     words, cols = np.unique(terms["word"].to_numpy(dtype=str), return_inverse=True)
     n = int(terms["pieces"].iloc[0]) if len(terms) else 0
+    df = np.bincount(cols, minlength=len(words))
+    good = (df >= (2 if n >= 20 else 1)) & (df <= 0.6 * n)
+    keep = good[cols]
+    if not keep.any():
+        return None, words[:0]
+    rows, at = terms["piece_no"].to_numpy()[keep], cols[keep]
+    x = (1 + np.log(terms["n"].to_numpy()[keep])) * (np.log((1 + n) / (1 + df[at])) + 1)
+    x /= np.sqrt(np.bincount(rows, x * x))[rows]
+    return Sparse(rows, (np.cumsum(good) - 1)[at], x), words[good]
+
+
+def topics(terms: pd.DataFrame, k: int | None = None) -> list[tuple[int, float, list[str], list[float], list[int]]]:
+    """(topic, share, words, their weights, paragraphs) of one document's rows of counted_terms(), largest share first."""
+    x, words = tfidf_matrix(terms)
+    n = int(terms["pieces"].iloc[0]) if len(terms) else 0
     k = min(k or topic_count(n), n - 1, len(words) - 1)
-    if k < 2:
+    if x is None or k < 2:
         return []
-    w, h = nmf(Sparse(terms["piece_no"].to_numpy(), cols, terms["weight"].to_numpy()), k)
+    w, h = nmf(x, min(k, *x.shape))
     para_of = dict(zip(terms["piece_no"], terms["para"]))
     shares = w.sum(axis=0) / (w.sum() or 1.0)
     found = []
-    for t in sorted(range(k), key=lambda t: -shares[t]):
+    for t in sorted(range(w.shape[1]), key=lambda t: -shares[t]):
         best = [j for j in np.lexsort((words, -h[:, t]))[:TOP_WORDS] if h[j, t] > 1e-9]
         loads: dict[int, float] = defaultdict(float)
         for piece, para in para_of.items():
-            loads[para] = max(loads[para], float(w[piece, t]))
-        paras = sorted((p for p, x in loads.items() if x > 1e-9), key=lambda p: (-loads[p], p))[:TOP_PARAS]
+            if piece < len(w):
+                loads[para] = max(loads[para], float(w[piece, t]))
+        paras = sorted((p for p, v in loads.items() if v > 1e-9), key=lambda p: (-loads[p], p))[:TOP_PARAS]
         if len(best) >= 3:
             found.append((t + 1, round(float(shares[t]), 4), [str(words[j]) for j in best], [round(float(h[j, t]), 4) for j in best], [int(p) for p in paras]))
     return found
@@ -127,7 +150,7 @@ def document_topics(chunks: DataFrame, key: str = "doc_id", stopwords: Sequence[
         return pd.DataFrame([(x[key].iloc[0], *r) for r in topics(x)], columns=[key, "topic", "share", "words", "weights", "paras"])
 
     schema = f"{key} {chunks.schema[key].dataType.simpleString()}, topic int, share double, words array<string>, weights array<double>, paras array<int>"
-    return weighted_terms(chunks, key, sorted({*stopwords, *english_stopwords()})).groupBy(key).applyInPandas(work, schema)
+    return counted_terms(chunks, key, sorted({*stopwords, *english_stopwords()})).groupBy(key).applyInPandas(work, schema)
 
 
 def english_stopwords() -> list[str]:
