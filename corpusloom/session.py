@@ -28,12 +28,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; set one only where it is unset."""
+    """Use the folder in ``spark.checkpoint.dir``; set one only where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+    if configured is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        configured = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")  # one machine: tests and the bench
+    sc.setCheckpointDir(configured)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,6 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over twice the session's cores, for work in Python whose cost isn't in the bytes of a row.
+
+    Adaptive execution would leave few rows to one task.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; works for a file or a folder of parts."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
