@@ -1,44 +1,57 @@
 """Noise in text from scanned pages: furniture, broken words, misread words.
 
-Method.  Page furniture (running headers, page numbers) is told by features of
-the line and its neighbours; its place on the page isn't used.  What is left is edited by averaged
-perceptrons trained here: one predicts for each character of a suspicious word
-to keep, replace, delete or insert, one predicts for each line end to join the
-word (with or without its hyphen) or not.  The words that the editor proposes
-are looked up in the lexicon, i.e. the words of the texts without line breaks,
-by a join; the best proposal that is a word wins.
-
-Training data: suspicious words of the scanned texts aligned with the lexicon
-word that they can only be (``train_words`` at most), and line ends whose word
-the lexicon settles.  ``common_words`` bounds the part of the lexicon that the
+Method.  Averaged perceptrons trained here make every edit.  A line model tells
+page furniture (running headers, page numbers) by where a line stands on its
+page (lines from its start and end, what stands beside it), how it looks, and
+in how many texts of the document it stands again.  A character editor predicts
+for each character of a suspicious word to keep, replace, delete or insert, and
+for each line end after a hyphen to join the word, with or without the hyphen,
+or not.  Only operations that it has learned are open to it; without weights
+nothing is edited.  Its cheapest results are looked up in the lexicon by a
+join, and the cheapest that is a word is the repair; words none of whose first
+results is one are looked up among all near words of the lexicon, at the
+editor's price.
+
+Lexicon: the words of texts whose line ends, if any, all end a sentence.
+
+Training, on bounded samples: ``train_words`` suspicious words aligned with the
+only nearest word of the lexicon, as many words of the lexicon and line ends
+made by breaking them, as many of the corpus's own line ends whose word the
+lexicon settles, and ``train_lines`` short lines labelled by what furniture()
+can be sure of.  ``common_words`` bounds the part of the lexicon that the
 workers hold to skip frequent words at once; all others go through the join.
 
 Defined results: null and empty texts, and texts without a line break, have no
 rows; rows repeated under one id count once; equal findings on one line are
-one row; a null document name leaves headers undetected but nothing else.
+one row; a null document name leaves a header only its place and its repetition.
 """
 
 from __future__ import annotations
 
+import heapq
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, dealt
 
 COMMON_WORDS = 20_000
 TRAIN_WORDS = 2_000
+TRAIN_LINES = 8_000
 LEXICON_LEAST = 2  # times that a word of the lexicon occurs in unbroken texts
 FLUSH = 200_000
-PROPOSALS = 60  # looked up first; words without a hit are looked up the other way, among all words near them
+PROPOSALS = 60  # cheapest results of the editor that are looked up first; words without a hit are looked up among all words near them
 CHANGES = 3  # of a word looked up that way
 SHARE = 0.1  # a misread form isn't more frequent than this share of the word that it should be, as far as its count can tell
+LINE_WORDS = 8  # a running header or page number has no more words
 BREAK = "\x1f"  # between the parts of a broken word
+KEEP, JOIN, HYPHEN = "=", "join", "hyphen"  # operations of the editor; any other is what a character becomes
 
 HYPHENS = "-­‐‑¬"
 _EDGE = ".,;:!?¡¿\"“”„«»‹›()[]{}…—–*_`'’‘|<>/\\"
@@ -111,7 +124,7 @@ def is_header(line: str, title: list[str]) -> bool:
 
 
 def furniture(lines: list[str], title: list[str]) -> list[str]:
-    """'header', 'page_number', 'blank' or '' for each line."""
+    """What can be told of each line by the document's name and its neighbours, to train the line model: 'header', 'page_number', 'blank' or ''."""
     kinds = []
     numbers = [bool(_is_number(x)) for x in lines]
     for i, line in enumerate(lines):
@@ -135,6 +148,68 @@ def _is_number(line: str) -> bool:
     return bool(m) and (m[1].isdigit() or bool(_ROMAN.match(m[1])))
 
 
+def unbroken(text: str) -> bool:
+    """Whether every line end of a text ends a sentence: no scanned page."""
+    return all(not x.strip() or _ENDS.search(x.strip()) for x in text.split("\n")[:-1])
+
+
+def repeated_form(line: str) -> str:
+    """A line without its numbers, case and marks, as it stands again on other pages."""
+    return "#" if _is_number(line) else " ".join(re.findall(r"[^\W\d_]+", line.lower()))
+
+
+def line_features(lines: list[str], i: int, title: list[str]) -> list[str]:
+    """Place and looks of a short line."""
+    line = lines[i].strip()
+    words = re.findall(r"[^\W_]+(?:[!@|][^\W_]+)*", line.lower())
+    filled = [k for k, x in enumerate(lines) if x.strip()]
+    first, last = filled.index(i), len(filled) - 1 - filled.index(i)
+    before = lines[filled[first - 1]].strip() if first else ""
+    after = lines[filled[first + 1]].strip() if last else ""
+    number = _is_number(line)
+    near = sum(any(_close(w, t) for w in words) for t in title)
+    usual = sorted(len(lines[k]) for k in filled)[len(filled) // 2]
+    letters = [ch for ch in line if ch.isalpha()]
+    beside = "N" if _is_number(before) or _is_number(after) else "C" if before.endswith(":") else "_"
+    headed = is_short(before) and is_header(before, title)
+    runs = "H" if headed else bool(before) and not _ENDS.search(before)  # a sentence is open where the line stands
+    goes = bool(after) and (after[:1].islower() or after[:1].isdigit())
+    year = bool(re.fullmatch(r"\W*(1\d{3}|20\d{2})[.,;)]*", line))
+    kind = "n" if number else "t"
+    out = [
+        kind, f"{kind}first{min(first, 2)}", f"{kind}last{min(last, 2)}", f"{kind}page{min(len(filled), 3)}", f"{kind}beside{beside}", f"{kind}runs{runs}{goes}", f"{kind}edge{first == 0 or last == 0}{runs}{goes}", f"year{year}{runs}",
+        f"{kind}words{min(len(words), LINE_WORDS)}", f"short{4 * len(line) < 3 * usual}", f"caps{bool(letters) and all(c.isupper() for c in letters)}", f"named{sum(w[:1].isupper() for w in line.split()) == len(line.split())}",
+        f"stop{bool(_ENDS.search(line))}", f"mark{bool(re.search('[|·—–•]', line))}", f"digits{any(c.isdigit() for c in line)}{number}", f"chapter{bool(_CHAPTER.search(line))}",
+    ]
+    if title:
+        held = "all" if near == len(title) else "some" if near else "none"
+        alone = len(words) - near
+        out += [f"title{held}", f"title{held}{min(alone, 4)}", f"title{held}{bool(_ENDS.search(line))}{min(alone, 2)}", f"titled{is_header(line, title)}"]
+    else:
+        out.append("untitled")
+    return out
+
+
+class LineModel:
+    """header, page_number or '' for a short line, by an averaged perceptron."""
+
+    LABELS = ("", "header", "page_number")
+
+    def __init__(self, examples: list[tuple[list[str], int, str]]):
+        known = [([*self.repeats(n), *f], label) for f, n, label in examples]
+        # a third again without what the document's name tells, for texts without one
+        known += [([x for x in f if not x.startswith("title")] + ["untitled"], label) for f, label in known[::3]]
+        self.model = Perceptron().train([(f, label, list(self.LABELS)) for f, label in known], 10)
+
+    @staticmethod
+    def repeats(n: int) -> list[str]:
+        return [f"again{min(n, 3)}"]
+
+    def label(self, features: list[str], repeats: int) -> str:
+        f = [*self.repeats(repeats), *features]
+        return max(self.LABELS, key=lambda x: (self.model.score(f, x), x == ""))
+
+
 # ---------------------------------------------------------------- perceptrons
 
 
@@ -162,7 +237,7 @@ class Perceptron:
         for _ in range(epochs):
             for features, label, rivals in examples:
                 step += 1
-                best = max(rivals, key=lambda r: (sum(w[f, r] for f in features), r))
+                best = max(rivals, key=lambda r: (sum(w[f, r] for f in features), r != label, r))  # a label must win alone
                 if best != label:
                     for f in features:
                         add((f, label), 1.0)
@@ -209,116 +284,141 @@ def _around(word: str, i: int) -> list[str]:
     return ["b", "c" + p[k], "l" + p[k - 1 : k + 1], "r" + p[k : k + 2], "w" + p[k - 1 : k + 2], "L" + p[k - 2 : k + 1], "R" + p[k : k + 3], "n" + p[k - 1] + p[k + 1]]
 
 
-# Shapes that recognition takes for one another (read, meant); the training adds what the corpus shows.
-CONFUSIONS = (
-    ("h", "li"), ("h", "b"), ("b", "h"), ("d", "cl"), ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"),
-    ("0", "o"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("@", "a"), ("$", "s"), ("m", "rn"), ("n", "ri"), ("u", "ii"), ("w", "vv"), ("v", "y"), ("y", "v"), ("p", "n"), ("n", "p"), ("o", "0"),
-)
-MERGES = (("ri", "n"), ("rn", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("iii", "m"), ("ni", "m"), ("tl", "d"))
+class Editor:
+    """Edits a noisy word: each character is kept, replaced, deleted or followed by an insertion, a line end joined or not.
 
+    An operation is open for a character only where training gave it weight.
+    """
 
-class Editor:
-    """Proposes words for a noisy word: each character is kept, replaced, deleted or followed by an insertion."""
-
-    def __init__(self, pairs: list[tuple[str, str]], words: list[str]):
-        seen: dict[str, Counter[str]] = defaultdict(Counter)
-        edits = []
-        for noisy, word in pairs:
-            ops = align(noisy, word)
-            edits.append((noisy, ops))
-            for ch, op in zip(noisy, ops):
+    def __init__(self, pairs: list[tuple[str, str]], words: list[str], ends: Iterable[tuple[str, str, str, str, str]] = ()):
+        aligned = [(noisy, align(noisy, word)) for noisy, word in pairs]
+        seen = Counter((ch, op) for noisy, ops in aligned for ch, op in zip(noisy, ops) if op != ch)
+        # a pair far apart may be of two words by chance: its operations must stand elsewhere too
+        changed = [[(ch, op) for ch, op in zip(noisy, ops) if op != ch] for noisy, ops in aligned]
+        edits = [x for x, c in zip(aligned, changed) if len(c) < 2 or all(seen[y] > 1 for y in c)] + [(w, list(w)) for w in words]
+        rivals: dict[str, dict[str, None]] = defaultdict(dict)
+        for word, ops in edits:
+            for ch, op in zip(word, ops):
                 if op != ch:
-                    seen[ch][op] += 1
-        least = max(2, len(pairs) // 1000)
-        self.options = {ch: [op for op, n in c.most_common(6) if n >= least] for ch, c in seen.items()}
-        for ch, op in CONFUSIONS:
-            if op not in self.options.setdefault(ch, []):
-                self.options[ch].append(op)
+                    rivals[ch][op] = None
         examples = []
-        for word, ops in edits + [(w, list(w)) for w in words]:
+        for word, ops in edits:
             for i, (ch, op) in enumerate(zip(word, ops)):
-                rivals = self.options.get(ch, [])
-                if rivals and (op == ch or op in rivals):
-                    examples.append((_around(word, i), "=" if op == ch else op, ["=", *rivals]))
+                if ch in rivals:
+                    examples.append((_around(word, i), KEEP if op == ch else op, [KEEP, *rivals[ch]]))
+        examples += [(self.end_features(a, sign, b, flags), label, [KEEP, JOIN, HYPHEN]) for a, sign, b, flags, label in ends]
         self.model = Perceptron().train(examples)
+        self.learn()
+
+    def learn(self) -> None:
+        """The operations open for each character: those that carry weight."""
+        self.options: dict[str, list[str]] = defaultdict(list)
+        for f, op in sorted(self.model.weights):
+            if f[0] == "c" and op not in (KEEP, JOIN, HYPHEN):
+                self.options[f[1:]].append(op)
+
+    def changes(self, noisy: str) -> list[tuple[float, int, str]]:
+        """(loss, place, what the character becomes) of each open operation, cheapest first."""
+        out = []
+        for i, ch in enumerate(noisy):
+            if rivals := self.options.get(ch):
+                around = _around(noisy, i)
+                keep = self.model.score(around, KEEP)
+                out += [(1.0 + max(0.0, keep - self.model.score(around, op)), i, op) for op in rivals]
+        return sorted(out)
 
     def proposals(self, noisy: str, most: int = PROPOSALS) -> list[tuple[str, float]]:
-        """(word, loss) of the cheapest edits, of up to three characters; the word itself first at no loss."""
-        out = {noisy: 0.0}
+        """(word, loss) of the ``most`` cheapest edits of a word, itself first at no loss."""
         whole = unicodedata.normalize("NFKC", noisy)  # ligatures
+        out = {noisy: 0.0}
         if whole != noisy:
             out[whole] = 0.5
-            noisy = whole
-        changes = []  # loss, place, characters covered, what they become
-        for i, ch in enumerate(noisy):
-            rivals = self.options.get(ch)
-            if not rivals:
+        changes = self.changes(whole)
+        heap: list[tuple[float, tuple[int, ...]]] = [(changes[0][0], (0,))] if changes else []
+        while heap and len(out) < most:  # sets of changes in order of their loss
+            loss, chosen = heapq.heappop(heap)
+            nxt = chosen[-1] + 1
+            places = {changes[c][1] for c in chosen}
+            if nxt < len(changes):
+                heapq.heappush(heap, (loss - changes[chosen[-1]][0] + changes[nxt][0], (*chosen[:-1], nxt)))
+            if len(places) < len(chosen):  # two changes of one character
                 continue
-            around = _around(noisy, i)
-            keep = self.model.score(around, "=")
-            for op in rivals:
-                changes.append((1.0 + max(0.0, keep - self.model.score(around, op)), i, 1, op))
-        for shape, op in MERGES:
-            i = noisy.find(shape)
-            while i >= 0:
-                changes.append((1.2, i, len(shape), op))
-                i = noisy.find(shape, i + 1)
-        changes.sort()
-        changes = changes[:28]
-
-        def apply(ops: list[tuple[float, int, int, str]]) -> None:
-            s, loss = list(noisy), 0.0
-            for c, i, n, op in ops:
-                s[i : i + n] = [op] + [""] * (n - 1)
-                loss += c
-            w = "".join(s)
-            if w and loss < out.get(w, 1e9):
-                out[w] = loss
-
-        for a, x in enumerate(changes):
-            apply([x])
-            for y in changes[:a]:
-                if x[1] + x[2] <= y[1] or y[1] + y[2] <= x[1]:
-                    apply([x, y])
-        odd = [c for c in changes if not noisy[c[1]].isalpha()]
-        if len({c[1] for c in odd}) > 2:
-            best: dict[int, tuple[float, int, int, str]] = {}
-            for c in odd:
-                best.setdefault(c[1], c)
-            apply(list(best.values()))
-            for x in changes:
-                if not any(i in best for i in range(x[1], x[1] + x[2])):
-                    apply([*best.values(), x])
-        return sorted(out.items(), key=lambda x: (x[1], x[0]))[:most]
-
+            letters = list(whole)
+            for c in chosen:
+                letters[changes[c][1]] = changes[c][2]
+            if word := "".join(letters):
+                out.setdefault(word, loss)
+            if nxt < len(changes):
+                heapq.heappush(heap, (loss + changes[nxt][0], (*chosen, nxt)))
+        return sorted(out.items(), key=lambda x: (x[1], x[0]))
 
     def loss(self, noisy: str, word: str, most: int = CHANGES) -> float | None:
-        """The least loss of turning a noisy word into this word by up to ``most`` changes, if it can be."""
+        """The least loss of turning a noisy word into this word by up to ``most`` changes, if open operations can."""
         noisy = unicodedata.normalize("NFKC", noisy)
-        states: list[dict[tuple[int, int], float]] = [{} for _ in range(len(noisy) + 1)]  # by place: (place in word, changes), loss
-        states[0][0, 0] = 0.0
-
-        def put(i: int, key: tuple[int, int], loss: float) -> None:
-            if loss < states[i].get(key, 1e9):
-                states[i][key] = loss
-
+        states: dict[tuple[int, int], float] = {(0, 0): 0.0}  # (place in word, changes), loss
         for i, ch in enumerate(noisy):
-            here = states[i]
-            if not here:
-                continue
-            changes = [(len(shape), op, 1.2) for shape, op in MERGES if noisy.startswith(shape, i)]
-            if rivals := self.options.get(ch):
+            after: dict[tuple[int, int], float] = {}
+            rivals = self.options.get(ch, ())
+            if rivals:
                 around = _around(noisy, i)
-                keep = self.model.score(around, "=")
-                changes += [(1, op, 1.0 + max(0.0, keep - self.model.score(around, op))) for op in rivals]
-            for (j, k), loss in here.items():
-                if word.startswith(ch, j):
-                    put(i + 1, (j + 1, k), loss)
-                if k < most:
-                    for n, op, more in changes:
-                        if word.startswith(op, j):
-                            put(i + n, (j + len(op), k + 1), loss + more)
-        return min((x for (j, _), x in states[-1].items() if j == len(word)), default=None)
+                keep = self.model.score(around, KEEP)
+                costs = [(op, 1.0 + max(0.0, keep - self.model.score(around, op))) for op in rivals]
+            for (j, k), loss in states.items():
+                steps = [((j + 1, k), loss)] if word.startswith(ch, j) else []
+                if rivals and k < most:
+                    steps += [((j + len(op), k + 1), loss + cost) for op, cost in costs if word.startswith(op, j)]
+                for key, x in steps:
+                    if x < after.get(key, 1e9):
+                        after[key] = x
+            states = after
+        return min((x for (j, _), x in states.items() if j == len(word)), default=None)
+
+    @staticmethod
+    def end_features(a: str, sign: str, b: str, flags: str) -> list[str]:
+        """flags: which of a+b, a-b, an edit of a+b, a, a-, b the lexicon has (J, H, E, L, S, R)."""
+        return ["|", "|s" + sign, "|a" + a[-1:], "|A" + a[-2:], "|z" + b[:1], "|Z" + b[:2], f"|n{min(len(a), 6)}", f"|m{min(len(b), 6)}", "|x" + a[-1:] + b[:1], "|f" + flags, *("|f" + x for x in flags)]
+
+    def end(self, a: str, sign: str, b: str, flags: str) -> str:
+        """JOIN, HYPHEN or KEEP for a line end."""
+        f = self.end_features(a, sign, b, flags)
+        return max((KEEP, JOIN, HYPHEN), key=lambda x: (self.model.score(f, x), x == KEEP))
+
+
+FLAGS = "JHELSR"
+
+
+def flags_of(a: str, b: str, known: Callable[[str], bool], edited: bool) -> str:
+    """Flags of a line end, see Editor.end_features()."""
+    has = (known(a + b), known(f"{a}-{b}"), edited, known(a), known(a + "-"), known(b))
+    return "".join(f for f, x in zip(FLAGS, has) if x)
+
+
+def made_ends(words: list[str], known: Callable[[str], bool], most: int) -> list[tuple[str, str, str, str, str]]:
+    """(a, sign, b, flags, operation) of line ends made from words of the lexicon: broken within, at their hyphen, and after a hanging hyphen."""
+    rng = random.Random(7)
+    out = []
+    plain = [w for w in words if len(w) >= 4 and w.isalpha()]
+    for w in words[:most]:
+        sign = rng.choice(HYPHENS)
+        if w.endswith("-") and len(w) > 2 and plain:
+            b = rng.choice(plain[:200])
+            a, label = w[:-1], KEEP
+        elif "-" in w[1:-1]:
+            a, b = w.split("-", 1)
+            label = HYPHEN
+        elif len(w) >= 4 and w.isalpha():
+            k = rng.randrange(2, len(w) - 1)
+            a, b, label = w[:k], w[k:], JOIN
+        else:
+            continue
+        flags = flags_of(a, b, known, False)
+        if label == JOIN:
+            out.append((a, sign, b, "".join(f for f in flags if f != "J") + "E" if rng.random() < 0.3 else flags, label))
+        else:
+            out += [(a, sign, b, flags, label)] * 3
+        if rng.random() < 0.25:  # of a word that the lexicon lacks
+            out.append((a, sign, b, "".join(f for f in flags if f in "LSR"), label))
+    return out
 
 
 def depth(word: str) -> int:
@@ -331,8 +431,8 @@ def forms(kind: str, token: str) -> set[str]:
     return {token.replace(BREAK, "")} if kind == "break" else {token, bare(token)} - {""}
 
 
-def looked_up(missing: DataFrame, lexicon: DataFrame, model) -> DataFrame:
-    """(kind, token, often, word, loss, role) of all lexicon words within depth() edits that the editor's changes lead to.
+def near_words(missing: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(kind, token, often, form, word) of all lexicon words within depth() edits of a form of a token.
 
     Words within k edits of each other have a form in common that deletes k characters or less.
     """
@@ -346,17 +446,29 @@ def looked_up(missing: DataFrame, lexicon: DataFrame, model) -> DataFrame:
         for x in batches:
             yield pd.DataFrame([(w, d) for w in x["word"] for d in _deletions(w, depth(w) or 1)], columns=["word", "part"])
 
+    a = missing.mapInPandas(of_tokens, "kind string, token string, often long, form string, part string").withColumn("part", F.xxhash64("part"))
+    b = dealt(lexicon.filter(F.length("word") > 3).select("word")).mapInPandas(of_words, "word string, part string").withColumn("part", F.xxhash64("part"))
+    return a.join(b, "part").select("kind", "token", "often", "form", "word").distinct()
+
+
+def looked_up(missing: DataFrame, lexicon: DataFrame, model) -> DataFrame:
+    """(kind, token, often, word, loss, role) of all near words that the editor's operations lead to."""
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        editor = model.value[0]
         for x in batches:
-            x["loss"] = [editor.loss(f, w, depth(f)) for f, w in zip(x["form"], x["word"])]
+            x["loss"] = [model.value.loss(f, w, depth(f)) for f, w in zip(x["form"], x["word"])]
             x = x[x["loss"].notna()]
             yield x.assign(loss=x["loss"].astype(float) + 0.2 * (x["kind"] == "break"), role=0)[["kind", "token", "often", "word", "loss", "role"]]
 
-    a = missing.mapInPandas(of_tokens, "kind string, token string, often long, form string, part string").withColumn("part", F.xxhash64("part"))
-    b = lexicon.filter(F.length("word") > 3).select("word").mapInPandas(of_words, "word string, part string").withColumn("part", F.xxhash64("part"))
-    near = a.join(b, "part").select("kind", "token", "often", "form", "word").distinct()
-    return near.mapInPandas(score, "kind string, token string, often long, word string, loss double, role int")
+    return near_words(missing, lexicon).mapInPandas(score, "kind string, token string, often long, word string, loss double, role int")
+
+
+def training_pairs(noisy: DataFrame, lexicon: DataFrame) -> list[tuple[str, str]]:
+    """Suspicious words of a sample with the only nearest word of the lexicon."""
+    near = near_words(noisy, lexicon).withColumn("far", F.levenshtein("form", "word")).filter(F.col("far") <= F.when(F.length("form") < 5, 0).when(F.length("form") < 8, 2).otherwise(CHANGES))
+    best = near.groupBy("form").agg(F.min(F.struct("far", "word")).alias("w"), F.array_sort(F.collect_list("far")).alias("all"))
+    rows = best.filter((F.size("all") == 1) | (F.get("all", F.lit(0)) < F.get("all", F.lit(1)))).select("form", "w.word").collect()
+    return sorted((r[0], r[1]) for r in rows if r[0] != r[1])
 
 
 def _deletions(word: str, depth: int) -> set[str]:
@@ -368,48 +480,22 @@ def _deletions(word: str, depth: int) -> set[str]:
     return out
 
 
-def training_pairs(noisy: list[str], lexicon: list[str], most: int = TRAIN_WORDS) -> list[tuple[str, str]]:
-    """Suspicious words with the one lexicon word within two edits of them."""
-    index: dict[str, list[str]] = defaultdict(list)
-    for w in lexicon[:4000]:
-        if 4 <= len(w) <= 14:
-            for d in _deletions(w, 2 if len(w) >= 6 else 1):
-                index[d].append(w)
-    pairs = []
-    for x in noisy:
-        if len(pairs) >= most:
-            break
-        if not 4 <= len(x) <= 16:
-            continue
-        near = {w for d in _deletions(x, 2 if len(x) >= 6 else 1) for w in index.get(d, ())}
-        ranked = sorted((distance(x, w, 2), w) for w in near)
-        if ranked and ranked[0][0] <= 2 and (len(ranked) == 1 or ranked[1][0] > ranked[0][0]):
-            pairs.append((x, ranked[0][1]))
-    return pairs
-
-
-class LineJoiner:
-    """Predicts for a line end whether its word goes on, and whether the hyphen stays, where the lexicon is silent."""
-
-    def __init__(self, ends: list[tuple[str, str, str, str]]):
-        self.model = Perceptron().train([(self.features(a, sign, b), label, ["join", "hyphen", "none"]) for a, sign, b, label in ends])
+# ---------------------------------------------------------------- pipeline
 
-    @staticmethod
-    def features(a: str, sign: str, b: str) -> list[str]:
-        return ["b", "s" + sign, "a" + a[-1:], "A" + a[-2:], "z" + b[:1], "Z" + b[:2], f"n{min(len(a), 6)}", f"m{min(len(b), 6)}", "x" + a[-1:] + b[:1]]
 
-    def label(self, a: str, sign: str, b: str) -> str:
-        f = self.features(a, sign, b)
-        return max(("join", "hyphen", "none"), key=lambda x: (self.model.score(f, x), x))
+def lines_of(text: str) -> list[str]:
+    return (text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text).split("\n")
 
 
-# ---------------------------------------------------------------- pipeline
+def is_short(line: str) -> bool:
+    """Whether a line may be furniture."""
+    return bool(line.strip()) and len(line.split()) <= LINE_WORDS
 
 
-def findings(text: str, title: list[str], common: set[str]) -> Iterator[tuple[int, str, str, str]]:
+def findings(text: str, title: list[str], again: dict[int, int], model: LineModel, common: set[str]) -> Iterator[tuple[int, str, str, str]]:
     """(line, kind, token, sign): furniture lines, words not common, and breaks of a word with the sign that ends its line."""
-    lines = re.split("\n", text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text)
-    kinds = furniture(lines, title)
+    lines = lines_of(text)
+    kinds = ["blank" if not x.strip() else model.label(line_features(lines, i, title), again.get(i, 1)) if is_short(x) else "" for i, x in enumerate(lines)]
     running = [i for i, k in enumerate(kinds) if not k]
     tokens = {i: lines[i].split() for i in running}
     for i, k in enumerate(kinds):
@@ -438,13 +524,13 @@ def findings(text: str, title: list[str], common: set[str]) -> Iterator[tuple[in
 
 
 def lexicon_of(texts: DataFrame) -> DataFrame:
-    """(word, n, total): words of the texts without line breaks, how often they stand there, and in all texts with copies of a text counted once."""
+    """(word, n, total): words of the texts that unbroken() holds of, how often they stand there, and in all texts with copies of a text counted once."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[int, Counter[str]] = defaultdict(Counter)  # by the copies that texts without line breaks have
+        counts: dict[int, Counter[str]] = defaultdict(Counter)  # by the copies that count of unbroken texts
         for x in batches:
             for t, copies in zip(x["text"], x["copies"]):
-                counts[0 if "\n" in t else copies].update(t.lower().split())
+                counts[(copies if "\n" not in t else 1) if unbroken(t) else 0].update(t.lower().split())
             if sum(map(len, counts.values())) > FLUSH:
                 yield from (_counted(c, copies) for copies, c in counts.items())
                 counts.clear()
@@ -464,93 +550,133 @@ def _counted(counts: Counter, copies: int) -> pd.DataFrame:
     return x.assign(n=x["total"] * copies)[["word", "n", "total"]]
 
 
-def damages(texts: DataFrame, common_words: int = COMMON_WORDS, train_words: int = TRAIN_WORDS) -> DataFrame:
-    """(src_table, row_id, line_no, defect, repaired) of texts: src_table, row_id, doc, text."""
+def pages_of(broken: DataFrame) -> DataFrame:
+    """(src_table, row_id, doc, text, again): again has, of short lines that stand in several texts of the document, the line and the number of texts."""
+
+    def short_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = [(s, r, d, h, i, repeated_form(y)) for s, r, d, h, t in zip(x["src_table"], x["row_id"], x["doc"], x["h"], x["text"]) for i, y in enumerate(lines_of(t)) if is_short(y)]
+            yield pd.DataFrame(rows, columns=["src_table", "row_id", "doc", "h", "line_no", "form"])
+
+    named = broken.filter(F.col("doc").isNotNull()).withColumn("h", F.xxhash64("text"))
+    forms_ = named.select("src_table", "row_id", "doc", "h", "text").mapInPandas(short_lines, "src_table string, row_id string, doc string, h long, line_no int, form string").filter("form <> ''")
+    often = forms_.select("doc", "form", "h").distinct().groupBy("doc", "form").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1")
+    again = forms_.join(often, ["doc", "form"]).groupBy("src_table", "row_id").agg(F.collect_list(F.struct("line_no", "n")).alias("again"))
+    return broken.join(again, ["src_table", "row_id"], "left")
+
+
+def _again(cell) -> dict[int, int]:
+    return {} if cell is None else {r["line_no"]: r["n"] for r in cell}
+
+
+def line_model(pages: DataFrame, train_lines: int = TRAIN_LINES) -> LineModel:
+    """The line model trained on short lines of a bounded sample of pages."""
+
+    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = []
+            for doc, text, cell in zip(x["doc"], x["text"], x["again"]):
+                lines, title, again = lines_of(text), title_words(doc), _again(cell)
+                rows += [(line_features(lines, i, title), again.get(i, 1), kind) for i, kind in enumerate(furniture(lines, title)) if kind != "blank" and is_short(lines[i])]
+            yield pd.DataFrame(rows, columns=["features", "n", "label"])
+
+    sample = pages.orderBy(F.xxhash64("src_table", "row_id")).limit(train_lines).mapInPandas(examples, "features array<string>, n int, label string")
+    rows = sample.limit(train_lines).collect()
+    return LineModel(sorted((list(r["features"]), r["n"], r["label"]) for r in rows))
+
+
+def damages(texts: DataFrame, common_words: int = COMMON_WORDS, train_words: int = TRAIN_WORDS, train_lines: int = TRAIN_LINES, zeroed: bool = False) -> DataFrame:
+    """(src_table, row_id, line_no, defect, repaired) of texts: src_table, row_id, doc, text.
+
+    ``zeroed`` drops the weights after training: nothing is left then, as only
+    they make edits.
+    """
     spark = texts.sparkSession
     texts = texts.filter(F.col("text").isNotNull())
     lexicon = cut(lexicon_of(texts))
     head = [r["word"] for r in lexicon.orderBy(F.desc("n"), "word").limit(common_words).collect()]
-    common = spark.sparkContext.broadcast(frozenset(head))
+    words = frozenset(head)
+    broken = texts.filter(F.col("text").contains("\n")).select("src_table", "row_id", "doc", "text").dropDuplicates(["src_table", "row_id"])
+    pages = cut(pages_of(broken))
+    lines = line_model(pages, train_lines)
+    if zeroed:
+        lines.model.weights.clear()
+    shared = spark.sparkContext.broadcast((lines, words))  # bounded by train_lines and common_words
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines, common = shared.value
         for x in batches:
-            rows = [(s, i, *f) for s, i, doc, t in zip(x["src_table"], x["row_id"], x["doc"], x["text"]) for f in findings(t, title_words(doc), common.value)]
+            rows = [(s, i, *f) for s, i, doc, t, cell in zip(x["src_table"], x["row_id"], x["doc"], x["text"], x["again"]) for f in findings(t, title_words(doc), _again(cell), lines, common)]
             yield pd.DataFrame(rows, columns=["src_table", "row_id", "line_no", "kind", "token", "sign"])
 
-    broken = texts.filter(F.col("text").contains("\n")).dropDuplicates(["src_table", "row_id"])
-    found = cut(broken.select("src_table", "row_id", "doc", "text").mapInPandas(find, "src_table string, row_id string, line_no int, kind string, token string, sign string"))
+    found = cut(dealt(pages).mapInPandas(find, "src_table string, row_id string, line_no int, kind string, token string, sign string"))
     # A form counts once however many copies of its text there are: in the first row of each text.
-    first = broken.groupBy(F.sha2("text", 256)).agg(F.min(F.struct("src_table", "row_id")).alias("r")).select("r.*", F.lit(1).alias("first"))
+    first = pages.groupBy(F.sha2("text", 256)).agg(F.min(F.struct("src_table", "row_id")).alias("r")).select("r.*", F.lit(1).alias("first"))
     odd = found.filter(F.col("kind").isin("word", "break")).join(first, ["src_table", "row_id"], "left").groupBy("kind", "token").agg(F.count("first").alias("n"), F.min("sign").alias("sign"))
     odd = cut(odd)
 
     # Training, on bounded samples.
-    words = set(head)
-    noisy = [r["token"] for r in odd.filter("kind = 'word'").orderBy(F.desc("n"), "token").limit(2 * train_words).collect()]
-    noisy = [w for w in noisy if w not in words]
-    editor = Editor(training_pairs(noisy, head, train_words), head[:train_words])
-    ends = []
-    for r in odd.filter("kind = 'break'").orderBy(F.xxhash64("token")).limit(2 * train_words).collect():
+    noisy = odd.filter("kind = 'word'").orderBy(F.desc("n"), "token").limit(2 * train_words)
+    pairs = [x for x in training_pairs(noisy, lexicon) if x[0] not in words][:train_words]
+    known = words.__contains__
+    ends = made_ends(head, known, train_words)
+    for r in odd.filter("kind = 'break'").orderBy(F.xxhash64("token")).limit(train_words).collect():
         a, b = r["token"].split(BREAK)
-        if a + b in words:
-            ends.append((a, r["sign"], b, "join"))
-        elif f"{a}-{b}" in words:
-            ends.append((a, r["sign"], b, "hyphen"))
-        elif a in words and b in words:
-            ends.append((a, r["sign"], b, "none"))
-    model = spark.sparkContext.broadcast((editor, LineJoiner(ends)))
+        flags = flags_of(a, b, known, False)
+        if set(flags) & set("JH") or {"L", "R"} <= set(flags) or {"S", "R"} <= set(flags):
+            ends.append((a, r["sign"], b, flags, JOIN if "J" in flags else HYPHEN if "H" in flags else KEEP))
+    editor = Editor(pairs, head[:train_words], ends)
+    if zeroed:
+        editor.model.weights.clear()
+        editor.learn()
+    model = spark.sparkContext.broadcast(editor)  # bounded by train_words
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        editor, joiner = model.value
+        editor = model.value
         for x in batches:
             rows: list[tuple] = []
-            for kind, token, sign in zip(x["kind"], x["token"], x["sign"]):
+            for kind, token, n in zip(x["kind"], x["token"], x["n"]):
+                rows.append((kind, token, n, None, 0.0, len(FLAGS)))  # the finding itself
                 if kind == "word":
-                    rows += [(kind, token, w, loss, 0) for w, loss in editor.proposals(token)]
-                    plain = bare(token)
-                    if plain != token:
-                        rows += [(kind, token, w, loss, 0) for w, loss in editor.proposals(plain)]
+                    for form in {token, bare(token)} - {""}:
+                        rows += [(kind, token, n, w, loss, 0) for w, loss in editor.proposals(form)]
                 else:
                     a, b = token.split(BREAK)
-                    label = joiner.label(a, sign, b)
-                    rows += [(kind, token, w, loss + 0.2, 0) for w, loss in editor.proposals(a + b)]
-                    rows.append((kind, token, f"{a}-{b}", 0.1, 0))
-                    # a line end between two words is no break; fallbacks carry the joiner's choice
-                    rows += [(kind, token, a, 0.0, 1), (kind, token, a + "-", 0.0, 1)]  # a suspended hyphen is part of the word
-                    rows.append((kind, token, b, 0.0, 2))
-                    rows.append((kind, token, {"join": a + b, "hyphen": f"{a}-{b}", "none": ""}[label], 0.0, 3))
-            y = pd.DataFrame(rows, columns=["kind", "token", "word", "loss", "role"])
-            y["often"] = y["token"].map(dict(zip(x["token"], x["n"])))
-            yield y
-
-    proposed = odd.mapInPandas(propose, "kind string, token string, often long, word string, loss double, role int")
-    known = cut(proposed.join(lexicon, "word", "left").filter((F.col("n").isNotNull()) | (F.col("role") == 3)))
-    missing = odd.select("kind", "token", "n").join(known.filter("role = 0"), ["kind", "token"], "left_anti")
+                    rows += [(kind, token, n, w, loss + 0.2, 0) for w, loss in editor.proposals(a + b)]
+                    rows += [(kind, token, n, w, 0.0, FLAGS.index(f)) for f, w in (("H", f"{a}-{b}"), ("L", a), ("S", a + "-"), ("R", b))]
+            yield pd.DataFrame(rows, columns=["kind", "token", "often", "word", "loss", "role"])
+
+    proposed = dealt(odd).mapInPandas(propose, "kind string, token string, often long, word string, loss double, role int")
+    known = cut(proposed.join(lexicon, "word", "left").filter(F.col("n").isNotNull() | (F.col("role") == len(FLAGS))))
+    missing = dealt(odd.select("kind", "token", "n").join(known.filter("role = 0"), ["kind", "token"], "left_anti"))
     known = known.unionByName(looked_up(missing, lexicon, model).join(lexicon, "word"))
     # A form too frequent to be a misreading of the word is a word of its own; twice the deviation of its count is allowed for.
     known = known.filter((F.col("kind") == "break") | (F.col("loss") == 0) | (F.col("often") - 2 * F.sqrt("often") <= F.col("total") * SHARE))
     value = F.struct((F.col("loss") - F.log1p(F.coalesce("n", F.lit(0))) * 0.12).alias("cost"), "word")
-    best = (
-        known.groupBy("kind", "token")
-        .agg(
-            F.min(F.when(F.col("role") == 0, value)).alias("hit"),
-            F.max(F.col("role") == 1).alias("left_known"),
-            F.max(F.col("role") == 2).alias("right_known"),
-            F.max(F.when(F.col("role") == 3, F.col("word"))).alias("fallback"),
-            F.max((F.col("role") == 0) & (F.col("word") == F.col("token"))).alias("sound"),
-            F.max((F.col("role") == 0) & (F.col("loss") == 0.0)).alias("sound_bare"),
-        )
-        .select(
-            "kind",
-            "token",
-            F.when(F.col("kind") == "word", F.when(~(F.col("sound") | F.col("sound_bare")), F.col("hit.word")))
-            .when(F.col("hit").isNotNull(), F.col("hit.word"))
-            .when(F.col("left_known") & F.col("right_known"), F.lit(None))
-            .otherwise(F.when(F.col("fallback") != "", F.col("fallback")))
-            .alias("repaired"),
-        )
-        .filter(F.col("repaired").isNotNull())
+    role = lambda f: F.max(F.col("role") == FLAGS.index(f))
+    whole = F.max((F.col("role") == 0) & (F.col("word") == F.replace(F.col("token"), F.lit(BREAK), F.lit(""))))
+    best = known.groupBy("kind", "token").agg(
+        F.min(F.when(F.col("role") == 0, value)).alias("hit"), whole.alias("whole"), F.max((F.col("role") == 0) & (F.col("loss") == 0.0)).alias("sound"), *(role(f).alias(f) for f in "HLSR")
     )
+    asked = best.join(odd.select("kind", "token", "sign"), ["kind", "token"]).select("kind", "token", "sign", "hit.word", "whole", "sound", *"HLSR")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        editor = model.value
+        for x in batches:
+            out = []
+            for kind, token, sign, word, whole, sound, *has in x.itertuples(index=False):
+                fixed = None
+                if kind == "word":
+                    fixed = None if sound else word
+                else:
+                    a, b = token.split(BREAK)
+                    flags = ("J" if whole else "") + ("H" if has[0] else "") + ("E" if word and not whole else "") + "".join(f for f, y in zip("LSR", has[1:]) if y)
+                    act = editor.end(a, sign, b, flags)
+                    fixed = f"{a}-{b}" if act == HYPHEN else None if act == KEEP else a + b if whole or not word else word
+                out.append(fixed)
+            yield x[["kind", "token"]].assign(repaired=pd.Series(out, index=x.index, dtype=object))
+
+    best = asked.mapInPandas(decide, "kind string, token string, repaired string").filter(F.col("repaired").isNotNull())
     defect = F.when(F.col("kind") == "word", "misread").otherwise("hyphen")
     edited = found.filter(F.col("kind").isin("word", "break")).join(best, ["kind", "token"]).select("src_table", "row_id", "line_no", defect.alias("defect"), "repaired")
     plain = found.filter(F.col("kind").isin("header", "page_number")).select("src_table", "row_id", "line_no", F.col("kind").alias("defect"), F.lit("").alias("repaired"))
