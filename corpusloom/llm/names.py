@@ -2,14 +2,17 @@
 
 Method.  A name is read into tokens (titles, possessives, case and accents
 aside): a person's surname and given name or initials, an organisation's
-founder, kind and subject, or an acronym.  The rare token is the core.  Cores
-of a project that may be misspellings of each other come from a set-similarity
-join on their q-grams, prefix-filtered (only the rarest q-grams of each are
-joined).  A pair of names with different cores is accepted by a soft weighted
-token similarity, in which rare tokens count more and equal, abbreviated and
-nicknamed tokens match.  Initials, bare surnames, short names and acronyms are
-linked where only one entity of the project fits them, by counts per core and
-not by comparing the names of a group with each other.
+founder, kind and subject, or an acronym; lists of nicknames, titles and kinds
+are evidence for the reading.  The rare token is the core.  Every name then
+meets the cores of its project, its own among them, by a set-similarity join on
+q-grams: prefix-filtered (only the rarest q-grams of each are joined) and keyed
+by length and place too, so that a frequent q-gram makes no long list.  What
+meets is verified by a soft weighted token similarity: tokens weigh the more
+the rarer they are, the core matches by its edit similarity, other tokens if
+they are equal, abbreviated or nicknames.  A name that meets nothing is linked
+to nothing.  Initials, bare surnames, short names and acronyms are linked where
+only one entity of the project fits them, by counts per core and not by
+comparing the names of a group with each other.
 
 Defined results: rows with a null project, text or id, or another label, and
 names without a letter take no part; a name that fits several entities is
@@ -27,12 +30,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, dealt
 
 PARTNERS = 12  # a token that stands beside so many others is a common one
 COMMON_SHARE = 0.001  # ... and beside at least this share of all names
 Q = 2
 SOFT = 0.75
+RARE = 0.1  # a lone surname is a misspelling only up to this share of the right one's names (or of two names)
+TWO_EDITS = 10  # letters of a core from which on two edits are allowed
+BARE = 5  # letters of a core from which on a lone surname may be a misspelling
+HOT_MEMBERS = 2_000  # rows of one entity whose pairs one task makes
 
 # Nicknames by given name, in folded spelling.
 NICKNAMES = {
@@ -201,19 +208,25 @@ class Reader:
         return {"form": "full", "core": full[surname][1], "givens": self.givens(rest[0])}
 
 
-def read_names(names: DataFrame, common: dict[str, int]) -> DataFrame:
+def read_names(names: DataFrame, common: dict[str, int], total: int) -> DataFrame:
+    """The reading of each name; rest: the weight of its tokens but the core, the sum of ln(names / names that hold the token)."""
     reader = names.sparkSession.sparkContext.broadcast(Reader(common))  # bounded: see common_tokens()
 
+    def rest(r: dict) -> float:
+        words = r.get("givens", [])[:1] + ([r["kind"]] if r.get("kind") else []) + r.get("subject", "").split()
+        known = sum(log(total / min(total, max(1, common.get(w, 1)))) for w in words)
+        return known + (log(26) if r.get("initial") else 0.0)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
             for project, text in zip(x["project"], x["text"]):
                 r = reader.value.read(text)
                 if r:
-                    rows.append((project, text, r["form"], r["core"], r.get("givens", []), r.get("initial"), r.get("kind"), r.get("subject", ""), r.get("acronym")))
-            yield pd.DataFrame(rows, columns=["project", "text", "form", "core", "givens", "initial", "kind", "subject", "acronym"])
+                    rows.append((project, text, r["form"], r["core"], r.get("givens", []), r.get("initial"), r.get("kind"), r.get("subject", ""), r.get("acronym"), rest(r)))
+            yield pd.DataFrame(rows, columns=["project", "text", "form", "core", "givens", "initial", "kind", "subject", "acronym", "rest"])
 
-    return names.mapInPandas(work, "project string, text string, form string, core string, givens array<string>, initial string, kind string, subject string, acronym string")
+    return names.mapInPandas(work, "project string, text string, form string, core string, givens array<string>, initial string, kind string, subject string, acronym string, rest double")
 
 
 def common_tokens(names: DataFrame, partners: int = PARTNERS) -> dict[str, int]:
@@ -239,30 +252,35 @@ def common_tokens(names: DataFrame, partners: int = PARTNERS) -> dict[str, int]:
 
 
 def similar_cores(cores: DataFrame) -> DataFrame:
-    """(project, family, core, other): cores of a project one edit apart, by a prefix-filtered q-gram join.
+    """(project, family, core, other): cores of a project few edits apart, each with itself too, by a prefix-filtered q-gram join.
 
-    One edit changes Q q-grams, a swap Q + 1: two such cores share one of the
-    Q + 2 rarest q-grams of each.
+    One edit changes Q q-grams, a swap Q + 1, so cores k edits apart share one
+    of the Q * k + 2 rarest q-grams of each, at places and with lengths that
+    differ by k at most: those are part of the join's key.
     """
     padded = F.concat(F.lit("^"), "core", F.lit("$"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q))))
-    exploded = cores.filter(F.length("core") >= 5).select("project", "family", "core", F.explode(grams).alias("g"))
-    often = exploded.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    places = F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.struct(F.substring(padded, i, F.lit(Q)).alias("g"), i.alias("at")))
+    edits = F.when(F.length("core") < TWO_EDITS, 1).otherwise(2)
+    exploded = cores.select("project", "family", "core", F.inline(places))
+    often = exploded.groupBy("g").agg(F.count_distinct("core").alias("often"))
     rarest = (
-        exploded.join(often, "g")
+        exploded.join(F.broadcast(often) if Q <= 2 else often, "g")  # two letters: bounded by the alphabet
         .groupBy("project", "family", "core")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("often", "g"))), 1, Q + 2).alias("gs"))
-        .select("project", "family", "core", F.explode("gs.g").alias("g"))
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("often", "g", "at"))), 1, Q * edits + 2).alias("gs"))
+        .select("project", "family", "core", F.length("core").alias("size"), edits.alias("k"), F.explode("gs").alias("x"))
+        .select("project", "family", "core", "size", "k", "x.g", "x.at")
     )
-    other = rarest.withColumnRenamed("core", "other")
+    around = lambda c: F.sequence(F.col(c) - F.col("k"), F.col(c) + F.col("k"))
+    other = rarest.select("project", "family", F.col("core").alias("other"), "g", "k", F.explode(around("size")).alias("size"), "at").withColumn("at", F.explode(around("at"))).drop("k")
     swap = (F.length("core") == F.length("other")) & (F.array_sort(F.split("core", "")) == F.array_sort(F.split("other", "")))
-    lev = F.levenshtein("core", "other", 2)
+    lev = F.levenshtein("core", "other", 3)
+    near = (lev == 1) | ((lev == 2) & (swap | (F.least(F.length("core"), F.length("other")) >= TWO_EDITS)))
     return (
-        rarest.join(other, ["project", "family", "g"])
-        .filter((F.col("core") != F.col("other")) & (F.abs(F.length("core") - F.length("other")) <= 1))
+        rarest.drop("k")
+        .join(other, ["project", "family", "g", "size", "at"])
         .select("project", "family", "core", "other")
         .distinct()
-        .filter((lev == 1) | ((lev == 2) & swap))
+        .filter((F.col("core") == F.col("other")) | near)
     )
 
 
@@ -274,14 +292,16 @@ def entity_keys(names: DataFrame) -> DataFrame:
     """(project, text, key): names with equal keys mean the same entity; names: distinct project, text."""
     common = common_tokens(names)
     total = max(2, names.count())
-    read = cut(read_names(names, common).withColumn("family", F.when(F.col("form").isin("full", "initial", "bare"), "person").otherwise(F.col("form"))))
+    read = cut(read_names(dealt(names), common, total).withColumn("family", F.when(F.col("form").isin("full", "initial", "bare"), "person").otherwise(F.col("form"))))
     placed = read.filter(F.col("family") != "acronym")
-    cores = placed.groupBy("project", "family", "core").agg(F.count(F.lit(1)).alias("n"))
+    cores = read.groupBy("project", "family", "core").agg(F.count(F.lit(1)).alias("n"))
     spellings = similar_cores(cores.select("project", "family", "core"))
     sized = cores.select("project", "family", F.col("core").alias("other"), F.col("n").alias("other_n"))
     options = spellings.join(sized, ["project", "family", "other"]).join(cores, ["project", "family", "core"])
-    # only the rarer spelling may be the mistake
-    options = options.filter((F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("core"))))
+    # only the rarer spelling may be the mistake; a core that meets itself may stay
+    options = cut(options.filter((F.col("other") == F.col("core")) | (F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("core")))))
+    own = options.filter(F.col("other") == F.col("core")).select("project", "family", "core")
+    options = options.filter(F.col("other") != F.col("core"))
 
     # What each core is known with: given names of persons, kind and subject of organisations.
     known = (
@@ -294,7 +314,7 @@ def entity_keys(names: DataFrame) -> DataFrame:
         "details",
         F.when(F.col("form") == "full", F.col("givens")).when(F.col("form") == "org", F.array(F.concat_ws("|", "kind", "subject"))).otherwise(F.array(F.lit(None).cast("string"))),
     )
-    moves = mine.join(options, ["project", "family", "core"]).select("project", "text", "form", "core", "family", "initial", "kind", "subject", F.explode("details").alias("detail"), "n", "other", "other_n")
+    moves = mine.join(options, ["project", "family", "core"]).select("project", "text", "form", "core", "family", "initial", "kind", "subject", "rest", F.explode("details").alias("detail"), "n", "other", "other_n")
     theirs = known.select("project", "family", F.col("core").alias("other"), F.col("detail").alias("their"))
     fits = (
         F.when(F.col("form") == "full", F.col("detail") == F.col("their"))
@@ -303,23 +323,24 @@ def entity_keys(names: DataFrame) -> DataFrame:
         .when(F.col("subject") == "", F.col("their").startswith(F.concat("kind", F.lit("|"))))
         .otherwise(F.col("detail") == F.col("their"))
     )
-    # Soft weighted token similarity: tokens weigh log(N / names that hold them); the core matches by its edit similarity, a fitting rest wholly, a missing rest not at all.
-    weight = F.log(F.lit(float(total)) / F.col("other_n"))
-    rest = F.lit(log(total) / 2)
+    # Soft weighted token similarity: the core matches by its edit similarity, a fitting rest wholly.
+    weight = F.log(F.lit(float(total)) / F.least(F.col("other_n"), F.lit(total / 2)))
     alike = 1 - F.levenshtein("core", "other") / F.greatest(F.length("core"), F.length("other"))
-    soft = F.when(F.col("form") == "bare", alike).otherwise((weight * alike + rest) / (weight + rest))
+    soft = (weight * alike + F.col("rest")) / (weight + F.col("rest"))
     alone = placed.filter("form in ('full', 'org')").select("project", "family", "core").distinct().withColumn("stands", F.lit(True))
     accepted = (
         moves.join(theirs, ["project", "family", "other"])
         .filter(fits & (soft >= SOFT))
         .join(alone, ["project", "family", "core"], "left")
-        .filter(F.col("form").isin("full", "org") | (F.col("stands").isNull() & (F.col("n") <= 2)))
+        .filter(F.col("form").isin("full", "org") | (F.col("stands").isNull() & (F.length("core") >= BARE) & (F.col("n") <= F.greatest(F.lit(2), F.col("other_n") * RARE))))
         .groupBy("project", "text")
         .agg(F.max(F.struct("other_n", "other")).alias("to"))
         .select("project", "text", F.col("to.other").alias("core"))
     )
-    settled = placed.withColumnRenamed("core", "own").join(accepted, ["project", "text"], "left").withColumn("core", F.coalesce("core", "own")).drop("own")
-    settled = cut(settled)  # used by every rule below
+    # Names whose core met another take that; the rest those that met their own.
+    met = placed.join(own, ["project", "family", "core"])
+    settled = met.withColumnRenamed("core", "own").join(accepted, ["project", "text"], "left").withColumn("core", F.coalesce("core", "own")).drop("own")
+    settled = cut(dealt(settled))  # used by every rule below
 
     # Persons: a nickname of several given names takes the one that its surname is known with.
     full = settled.filter("form = 'full'").select("project", "text", "core", F.explode("givens").alias("given"), F.size("givens").alias("m"))
@@ -355,7 +376,7 @@ def entity_keys(names: DataFrame) -> DataFrame:
     )
     letters = F.concat(F.substring("core", 1, 1), F.substring("kind", 1, 1), F.array_join(F.transform(F.split("subject", " "), lambda w: F.substring(w, 1, 1)), ""))
     by_letters = distinct.withColumn("core", letters).groupBy("project", "core").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("key"))
-    acronyms = read.filter("form = 'acronym'").join(by_letters, ["project", "core"], "left").select(
+    acronyms = read.filter("form = 'acronym'").join(own, ["project", "family", "core"]).join(by_letters, ["project", "core"], "left").select(
         "project", "text", F.when(F.col("k").isNull(), F.concat_ws("|", F.lit("a"), "core")).otherwise(_one(F.col("k"), F.col("key"))).alias("key")
     )
     return people.union(whole.select("project", "text", "key")).union(short.filter("key is not null")).union(acronyms.filter("key is not null"))
@@ -374,8 +395,14 @@ def linked(entities: DataFrame) -> DataFrame:
 
 
 def variant_pairs(entities: DataFrame) -> DataFrame:
-    """(entity_a, entity_b), a < b: all pairs of rows of a project that mean the same entity."""
+    """(entity_a, entity_b), a < b: all pairs of rows of a project that mean the same entity.
+
+    The rows of an entity with more than HOT_MEMBERS are split: each part meets
+    all rows in a task of its own.
+    """
     keys = cut(linked(entities))
-    a = keys.select("project", "key", F.col("entity_id").alias("entity_a"))
-    b = keys.select("project", "key", F.col("entity_id").alias("entity_b"))
-    return a.join(b, ["project", "key"]).filter("entity_a < entity_b").select("entity_a", "entity_b").distinct()
+    sizes = keys.groupBy("project", "key").agg(F.ceil(F.count(F.lit(1)) / HOT_MEMBERS).cast("int").alias("parts")).filter("parts > 1")
+    split = keys.join(sizes, ["project", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = split.select("project", "key", F.col("entity_id").alias("entity_a"), F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int").alias("part"))
+    b = split.select("project", "key", F.col("entity_id").alias("entity_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["project", "key", "part"]).filter("entity_a < entity_b").select("entity_a", "entity_b").distinct()

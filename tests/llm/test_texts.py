@@ -134,6 +134,33 @@ def test_entities(spark):
     assert names.variant_pairs(df.limit(0)).count() == 0
 
 
+def _linked(spark, texts):
+    rows = [(i, "p", t, "PERSON") for i, t in enumerate(texts)]
+    return {tuple(sorted((texts[r[0]], texts[r[1]]))) for r in names.variant_pairs(spark.createDataFrame(rows, "entity_id long, project string, text string, label string")).collect()}
+
+
+def test_short_and_far_misspellings_are_linked(spark):
+    texts = ["Robert Kemp", "Robert  Kemp", "R. Kemp", "Robert Kenp", "Zachary Wumozustadberg", "Zachary  Wumozustadberg", "Zachary Wunozustadbeg", "Zachary Wunozuszadbog"]
+    got = _linked(spark, texts)
+    assert {("Robert Kemp", "Robert Kenp"), ("Zachary Wumozustadberg", "Zachary Wunozustadbeg")} <= got
+    assert not any("Zachary Wunozuszadbog" in x for x in got)
+
+
+def test_all_names_go_through_the_join(spark, monkeypatch):
+    texts = ["Robert Kemp", "Kemp, Robert", "R. Kemp", "D.M.D.A.", "DMDA"]
+    assert len(_linked(spark, texts)) == 4
+    empty = names.similar_cores
+    monkeypatch.setattr(names, "similar_cores", lambda cores: empty(cores).limit(0))
+    assert _linked(spark, texts) == set()
+
+
+def test_pairs_of_a_hot_name_are_split(spark, monkeypatch):
+    monkeypatch.setattr(names, "HOT_MEMBERS", 7)
+    rows = [(i, "p", "Robert Sijigurrand", "PERSON") for i in range(40)]
+    got = [tuple(r) for r in names.variant_pairs(spark.createDataFrame(rows, "entity_id long, project string, text string, label string")).collect()]
+    assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+
+
 @pytest.mark.parametrize("a, b, yes", [("abcde", "abde", True), ("abcde", "abdce", True), ("abcde", "abxde", True), ("abcde", "axxde", False), ("", "a", True), ("ab", "ba", True)])
 def test_near(a, b, yes):
     assert names.near(a, b) is yes and names.near(b, a) is yes
