@@ -3,12 +3,14 @@
 Method.  Texts become streams of lower-case words with one separator.  The
 items' character q-grams are indexed by position.  Each document is scanned
 for places where q-grams of the items are dense; their hits are counted in
-diagonal bands that overlap by half, and a band whose count meets the q-gram
-lemma for the edit budget is verified by aligning its words with the item's.
+diagonal bands that overlap by half.  A band counts if it holds as many q-grams
+as the q-gram lemma demands of that very item, by the lengths of its words and
+the edit budget (lemma()), and is verified by aligning its words with the
+item's: a sparse alignment, which visits the equal words of the band only.
 
-The index is broadcast: it grows with the items only.  ``matches`` cuts the
-items into parts of at most ``part_chars`` characters and scans once a part, so
-that the broadcast stays bounded however many items there are.
+The index is broadcast a part at a time: ``matches`` cuts the items into parts
+of at most ``part_chars`` characters, scans once a part and drops its index
+before the next, so that memory stays bounded however many items there are.
 
 Defined results: null and empty texts hold nothing; the first sentence of an
 item doesn't count where several items begin with it (an instruction); items
@@ -27,24 +29,37 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 Q = 12  # characters of a q-gram
-LEAST = 10  # q-gram lemma: shared q-grams of a band that may hold a passage (see lemma())
 BAND = 32  # diagonals of a band; bands overlap by half
-DENSE, WITHIN = 8, 96  # a place counts if so many of this many characters begin a q-gram of the items
+DENSE, WITHIN = 8, 96  # a place counts if so many of this many characters begin a q-gram of the items; fewer if the lemma allows an item fewer
 BITS = 22
 CHUNK = 2_000_000  # bytes scanned at once
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SEP = 32
 
 
-def lemma(words: int, edits: int, chars: int = 3, q: int = Q) -> int:
-    """Least number of q-grams that a run of words shares with its changed copy.
+def clean_run(least: int) -> int:
+    """Words of the longest unchanged run that a passage of ``least`` words or more has for certain.
+
+    c changed words need max(least, 10 c) words and cut them into c + 1 runs.
+    """
+    return min(-(-(max(least, 10 * c) - c) // (c + 1)) for c in range(least + 1))
+
+
+def lemma(sizes: list[int], least: int, q: int = Q) -> int:
+    """Least number of q-grams that a passage of ``least`` words of an item shares with its changed copy on one diagonal.
 
-    The changed words cut the run; the longest part left has at least
-    ceil((words - edits) / (edits + 1)) words of ``chars`` characters or more.
+    sizes: the lengths of the item's words.  That is the least that any run of
+    clean_run() words has, with the separators around it; 1 at least, as
+    shorter ones share none for certain.
     """
-    whole = -(-(words - edits) // (edits + 1))
-    return max(1, whole * (chars + 1) - 1 - q + 1)
+    ends = [0]
+    for n in sizes:
+        ends.append(ends[-1] + n + 1)
+    run = clean_run(least)
+    return max(1, min((ends[i + run] - ends[i] + 1 - q + 1 for i in range(len(sizes) - run + 1)), default=1))
 
 
 def plain(text: Column) -> Column:
@@ -115,6 +130,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], least_words: int):
         self.least_words = least_words
+        items = [x for x in items if len(bytes(stream(np.frombuffer((" " + x[1] + "  ").encode(), np.uint8))[0]).split()) >= least_words]
         self.ids = [i for i, _ in items]
         self.words: list[list[bytes]] = []
         self.starts: list[np.ndarray] = []
@@ -127,6 +143,8 @@ class Index:
             hashes.append(h)
             where.append(np.arange(len(h), dtype=np.int32))
             which.append(np.full(len(h), k, np.int32))
+        self.shared = np.array([lemma([len(w) for w in ws], least_words) for ws in self.words] or [1])
+        self.dense = min(DENSE, int(self.shared.min()))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.keys, self.begin = np.unique(h[order], return_index=True)
@@ -148,7 +166,7 @@ class Index:
         if not len(places):
             return []
         lo, hi = np.maximum(places - WITHIN // 2, 0), np.minimum(places + WITHIN // 2, len(h))
-        places = places[total[hi] - total[lo] >= DENSE]
+        places = places[total[hi] - total[lo] >= self.dense]
         key = np.searchsorted(self.keys, h[places])
         key[key == len(self.keys)] = 0
         real = self.keys[key] == h[places]
@@ -172,7 +190,7 @@ class Index:
             for shift in (0, BAND // 2):
                 code = (item << 40) | ((diag + shift) // BAND) * 2 + (shift > 0)
                 codes, count = np.unique(code, return_counts=True)
-                codes = codes[count >= LEAST]
+                codes = codes[count >= self.shared[codes >> 40]]
                 if len(codes):
                     ok = np.isin(code, codes)
                     cand.append(np.stack([item[ok], places[rep[ok]], self.where[post[ok]], text_of[rep[ok]]], axis=1))
@@ -219,8 +237,11 @@ def passage(a: list[bytes], b: list[bytes], least: int) -> bool:
     Maximal runs of equal words are chained; a gap costs the larger number of
     words that it skips on either side.  A chain is dropped only where another
     starts no later at no more cost, or where the rest of a can't make up for
-    its cost; so no more than a tenth of a's words remain at a run.
+    its cost; so no more than a tenth of a's words remain at a run.  Gaps of
+    2 * least / 9 words or more need no chain: a passage with a gap of g words
+    has 9 g others or more, and so a side of ``least`` words that is a passage.
     """
+    gap = -(-2 * least // 9) + 1
     at: dict[bytes, list[int]] = {}
     for j, w in enumerate(b):
         at.setdefault(w, []).append(j)
@@ -236,8 +257,8 @@ def passage(a: list[bytes], b: list[bytes], least: int) -> bool:
             if n >= least:
                 return True
             chains = [(i, 0)]
-            for x in range(5):
-                for y in range(5):
+            for x in range(gap):
+                for y in range(gap):
                     chains += [(start, cost + max(x, y)) for start, cost in best.get((i - x, j - y), ())]
             chains.sort()
             front: list[tuple[int, int]] = []
@@ -300,6 +321,9 @@ def matches(documents: DataFrame, items: DataFrame, least_words: int = 12, part_
                     begin = end
 
         one = docs.mapInArrow(work, "doc_id long, item_id long")
+        if len(parts) > 1:  # one index at a time
+            one = cut(one)
+            index.unpersist()
         out = one if out is None else out.union(one)
     return out.distinct()
 

@@ -164,6 +164,33 @@ def test_passage_with_one_changed_word(n):
     assert [k for k in range(1, n - 1) if not leaks.passage(a, [b"x" if i == k else w for i, w in enumerate(a)], 12)] == []
 
 
+def test_lemma_holds_for_short_and_long_words():
+    rng = random.Random(5)
+    assert leaks.clean_run(12) == 6
+    for letters in (1, 2, 3, 7):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(letters)) for _ in range(40)]
+        need = leaks.lemma([len(w) for w in words], 12)
+        for at in range(28):
+            for change in range(1, 11):
+                part = words[at : at + 12]
+                runs = [part[:change], part[change + 1 :]]
+                assert max(sum(map(len, r)) + len(r) + 1 - leaks.Q + 1 for r in runs) >= need or need == 1
+
+
+@pytest.mark.parametrize("letters", [2, 3, 8])
+def test_one_changed_word_anywhere_is_found(spark, letters):
+    rng = random.Random(letters)
+    words = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(letters))) for _ in range(40)]
+    docs = []
+    for k in range(1, 11):
+        part = words[5:17]
+        part[k] = "zzz"
+        docs.append((k, "before it all " + " ".join(part) + " after it all"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = leaks.matches(df, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"), 12)
+    assert {r["doc_id"] for r in got.collect()} == set(range(1, 11))
+
+
 def all_chains(a, b, least):
     """passage() without dropping anything."""
     best = {}
