@@ -1,10 +1,13 @@
 """Defects of question-answer and instruction-response pairs.
 
 Each answer is run through, in this order: an emptiness check, greedy string
-tiling against the question (copy), refusal grammars, script and language
-checks, and a pushdown parser for fences, brackets, quotations, lists and
-markup with a model of sentence endings (truncated).  The first that applies
-names the defect.
+tiling against the question (copy), a refusal grammar over clauses, script and
+language checks, and a pushdown parser for fences, brackets, quotations, lists
+and markup with a model of sentence endings (truncated).  The first that
+applies names the defect.
+
+Languages are told by character n-grams, trained on a bounded sample of the
+corpus's own texts (``language_rows``) that function words settle.
 
 The ending model is counted here over the sentences with a full stop of all
 distinct answers: for runs of up to six words (words that stand in for each
@@ -19,23 +22,28 @@ under one id count once; very long texts are read whole.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, dealt
 
 MARKED = 400_000  # words that count as themselves in runs: those with this share (1 in MARKED) of all words, so no more than that
 FLUSH = 200_000  # counts that a worker holds before it gives them on
 TILE_WORDS = 2  # shortest tile
 COPY_SHARE = 0.8  # share of the answer's words in tiles
 COPY_WORDS = 4  # shortest answer that counts as a copy
+LANGUAGE_ROWS = 5_000  # texts that the language model is trained on at most
+SAMPLE_CHARS = 2_000  # of each of those (whole texts are judged)
+SURE = 25.0  # log odds from which on a language counts as told
 
 # Answers without content, compared in lower case and without marks around them.
 PLACEHOLDERS = frozenset(
@@ -48,22 +56,6 @@ PLACEHOLDERS = frozenset(
     ]
 )
 
-# Function words by language.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that it for with as on be by this are was from or an at which not have has you your can will but they their its if then into after before should must each when while because only do does did how what why who there here than so we he she his her my me more other next every again first one".split(),
-    "de": "der die das und ist nicht ein eine einen einem einer den dem des zu mit auf für von im am sich auch es sie ich wir ihr wird werden wurde hat haben sind war oder wenn weil dass daß nach vor bei aus um über noch immer müssen kann können soll sollten sollen was wie warum wer hier schon so nur zuerst ungefähr damit nichts genug denn nein ja bevor man danach leicht obwohl jeden jede jedes liess".split(),
-    "fr": "le la les de des du et est un une que qui dans pour pas ne sur avec au aux ce cette il elle ils on nous vous je se son sa ses leur plus par ou où si mais donc car sans avant après doit toujours peut être fait faut comment pourquoi puis reste déjà garde autre environ il d'attendre qu'il d'un d'une l'on non oui bien que montre était".split(),
-    "es": "el la los las de del y es un una unos que en para no por con al se su sus lo le les como más pero o si porque cuando antes después hay ya eso este esta hay muy también sin sobre debe puede qué cómo dónde primero siempre conviene otra otro nada perder ayer aunque era cada cual desde unos quiso no sí".split(),
-}
-_WEIGHTS: dict[str, dict[str, float]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
-    for _w in set(_words):
-        _WEIGHTS.setdefault(_w, {})[_lang] = 1.0
-for _w, _by in _WEIGHTS.items():
-    for _lang in _by:
-        _by[_lang] = 1.0 / len(_by) ** 2
-_LETTERS = {"de": re.compile("[äöüß]"), "fr": re.compile("[àâçèêëîïôûœù]|\\b[ldjnmsc]['’](?=\\w)"), "es": re.compile("[ñ¿¡áíóú]")}
-
 # Names of languages in requests.
 LANGUAGE_NAMES = {
     "en": "english englisch englischen anglais inglés ingles",
@@ -74,26 +66,76 @@ LANGUAGE_NAMES = {
 _NAMED = re.compile(r"\b(" + "|".join(w for x in LANGUAGE_NAMES.values() for w in x.split()) + r")\b", re.I)
 _LANGUAGE_OF = {w: lang for lang, x in LANGUAGE_NAMES.items() for w in x.split()}
 
-# Refusals: who speaks, and what is declined.
-REFUSALS = re.compile(
+# Words of the refusal grammar by class, all four languages together; * stands for any ending.
+CLASSES = {
+    "S": "i i'm i'd i'll i've me my we we're we'd us our assistant* language_model ich mir mich wir uns meine* unser* assistent* von_mir je j m me moi mes nous yo mi nosotr* asistente puedo podré debo quiero prefiero niego tengo dispongo",  # who speaks
+    "N": "not no cannot can't won't couldn't don't doesn't wouldn't isn't unable never nicht kein* ausserstande außerstande nein ne n pas aucun* rien impossible interdit imposible negar* nunca",  # negation
+    "M": "can could may will would must able allowed permitted authori* possible going kann darf möchte will werde könnte muss möglich erlaubt gestattet peux puis dois souhaite veux peut saurais droit permis puedo podré debo puede permitido autorizad* posible quiero",  # modality
+    "D": "decline refuse rather prefer keep_quiet weigere ablehnen lehne préfère refuse m'abstenir abstenir prefiero niego",  # declining
+    "T": "answer* respond* reply* help* assist* provid* explain* discuss* comment* tell share offer* go_into talk* speak* leave give beantwort* antwort* helf* sprech* auskunft auskünfte sagen geben äußern répon* aid* parl* dire traiter fournir donn* renseign* respon* contest* ayud* habl* decir dar coment*",  # acts of answering
+    "Q": "this that it these those one something question* request* topic* subject* matter information sie es das dies* diese* dazu hierzu dabei darüber darauf frage* thema anfrage ce cela ça cette ces y en sujet demande question eso esto esa ese esta este tema pregunta petición solicitud información",  # what was asked
+    "K": "know* access* knowledge zugang zugriff wissen accès savoir acceso saber",  # means of answering
+    "L": "beyond outside against exceeds off_limits übersteigt außerhalb ausserhalb jenseits dépasse dehors hors supera fuera excede",  # limits
+    "P": "guideline* polic* rule* principle* remit scope power* möglichkeit* zuständigkeit* richtlinie* compétence* moyens alcance posibilidades competencia*",  # what limits a speaker
+    "A": "appropriate proper right angebracht passend approprié convenable apropiado adecuado",  # fitness
+    "E": "another_source other_source fachperson",  # elsewhere
+}
+IDIOMS = ("language model", "keep quiet", "off limits", "off-limits", "go into", "another source", "von mir")
+# Words that carry no weight in a clause.
+LIGHT = frozenset(
+    "a an the to of for with on about at in by and or so as is are was were am be been being have has had do does did you your what told open well just also very any anything "
+    "zu über mit von für auf der die den dem ein eine gibt habe ist bin sein ihnen dir euch leider gilt bitte fragen "
+    "à de d l le la les du des sur avec est suis être ai avez vous te votre malheureusement mais que qu ce il être par "
+    "a de con sobre el los las un una que le les te está estoy he ha ese queda como pero".split()
+)
+_STEMS = sorted(((w.replace("_", " ").rstrip("*"), w.endswith("*"), c) for c, ws in CLASSES.items() for w in ws.split()), key=lambda x: -len(x[0]))
+_EXACT: dict[str, str] = {}
+for _w, _stem, _c in ((w.replace("_", " "), w.endswith("*"), c) for c, ws in CLASSES.items() for w in ws.split()):
+    if not _stem and _c not in _EXACT.get(_w, ""):
+        _EXACT[_w] = _EXACT.get(_w, "") + _c
+# Clauses that decline, over the classes of their words in order; x is a word of no class, W one of the question.
+_DECLINES = re.compile(
     "|".join(
         [
-            # English
-            r"\b(i|we)(['’](m|re|ve|d|ll))?\b[^.!?\n]{0,40}\b(can['’]?t|cannot|can not|won['’]t|will not|couldn['’]t|unable|not able|not allowed|not permitted|not authori[sz]ed|must decline|have to decline|decline to|refuse to|rather not|prefer not|prefer to leave|not comfortable|no way of knowing|keep quiet|do not have access|don['’]t have access|do not have that|don['’]t have that|not going to)\b",
-            r"\b(off[- ]limits|against (my|our|the) (guidelines|policy|policies|rules|principles)|beyond (what (i|we)|my|our)|(falls?|is|lies) outside (of )?(what (i|we)|my|our)|not be appropriate|no comment on|have to find another source|cannot be answered by me)\b",
-            # German
-            r"\b(kann|darf|möchte|will|werde|könnte) ich\b[^.!?\n]*\b(nicht|keine?[nmr]?)\b",
-            r"\bich\b[^.!?\n]*\b(kann|darf|möchte|will|werde|bin)\b[^.!?\n]*\b(nicht|keine?[nmr]?|außerstande|ausserstande)\b",
-            r"\b(übersteigt meine|ausserhalb meiner|außerhalb meiner|von mir keine antwort|keine auskunft|mir nicht (möglich|erlaubt|gestattet)|nicht helfen)\b",
-            # French
-            r"\bje\b[^.!?\n]*\b(ne|n['’])\s?(peux|puis|suis|souhaite|dois|saurais|veux|dispose|ai)\b[^.!?\n]*\b(pas|aucune?|rien)?\b",
-            r"\b(je n['’]ai pas (le droit|accès)|préfère ne pas|préfère m['’]abstenir|m['’]est (impossible|interdit)|impossible de vous|aucune réponse ne (peut|sera)|dépasse ce que je|en dehors de (mes|ce que je))\b",
-            # Spanish
-            r"\b(no puedo|no podré|no me está permitido|no estoy autorizad[oa]|no dispongo|no tengo acceso|prefiero no|fuera de mi alcance|no me es posible|me es imposible|debo negarme|me niego)\b",
+            r"(?=.*S)(?=.*N)(?=.*T)",  # someone does not answer: I can't help, je ne peux pas répondre, no me está permitido responder
+            r"(?=.*S)(?=.*D)(?=.*[TQWN])",  # I decline to explain X, prefiero no hablar
+            r"(?=.*S)(?=.*N).*K[QW]*$",  # I have no way of knowing that
+            r"N+T(?=[^S]*$)",  # no comment on X, aucune réponse ne peut être donnée
+            r"T.*N.*A",  # helping would not be appropriate
+            r"[QW].*L.*S.*[MTPQ]|[QW].*L.*P|[QW]+L+S$|LS+P",  # this is beyond what I can offer, off limits for me, against my guidelines
+            r"E[QW]*$",  # another source for that
         ]
-    ),
-    re.I,
+    )
 )
+_CLAUSE = re.compile(r"[,;:()—–]+|\b(?:however|but|so|and then|aber|sondern|mais|pero)\b", re.I)
+STRANGE = 1  # words of no class that a declining clause may have
+
+
+def word_classes(clause: str, asked: frozenset[str]) -> str:
+    """The classes of the words of a clause, without light ones; asked: the words of the question."""
+    text = clause.lower().replace("’", "'")
+    for k, idiom in enumerate(IDIOMS):
+        text = re.sub(rf"\b{idiom}\b", f"idiom{k}", text)
+    out = []
+    for w in re.findall(r"\w+(?:'t|'m|'d|'ll|'ve|'re)?", text):
+        if m := re.fullmatch(r"idiom(\d+)", w):
+            w = IDIOMS[int(m[1])].replace("-", " ")
+        kinds = _EXACT.get(w) or next((c for stem, open_, c in _STEMS if open_ and w.startswith(stem)), "")
+        if kinds:
+            out.append(kinds)
+        elif w in asked:
+            out.append("W")
+        elif w not in LIGHT:
+            out.append("x")
+    return "".join(out)
+
+
+def declines(clause: str, asked: frozenset[str]) -> bool:
+    """Whether a clause declines the request: nobody else's act, and no object but the request or what the question names."""
+    kinds = word_classes(clause, asked)
+    return kinds.count("x") <= STRANGE and bool(_DECLINES.search(kinds)) and not re.search(r"T[^x]*x[^x]*$", kinds.replace("W", ""))
+
+
 # Sentences that only go along with a refusal.
 COURTESIES = re.compile(
     r"^\W*(thanks?|thank you|sorry|my apologies|apologies|i['’]m sorry|hmm|with regret|unfortunately|as an? (\w+ )*(assistant|model)|i hope|perhaps|please|let me know|is there anything|that is an interesting|"
@@ -121,34 +163,77 @@ def is_empty(answer: str | None) -> bool:
     return bare in PLACEHOLDERS or bare.strip(" \t\n.!?-–—_*'\"`()[]{}<>:") in PLACEHOLDERS
 
 
+class Runs:
+    """A suffix automaton of the words of a question: what of an answer stands in it, in time linear in both."""
+
+    def __init__(self, question: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        last = 0
+        for w in question:
+            here = self._state(self.size[last] + 1, {})
+            p = last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = here
+                p = self.link[p]
+            if p < 0:
+                self.link[here] = 0
+            else:
+                q = self.next[p][w]
+                if self.size[p] + 1 == self.size[q]:
+                    self.link[here] = q
+                else:
+                    twin = self._state(self.size[p] + 1, dict(self.next[q]))
+                    self.link[twin] = self.link[q]
+                    while p >= 0 and self.next[p].get(w) == q:
+                        self.next[p][w] = twin
+                        p = self.link[p]
+                    self.link[q] = self.link[here] = twin
+            last = here
+
+    def _state(self, size: int, following: dict[str, int]) -> int:
+        self.next.append(following)
+        self.link.append(0)
+        self.size.append(size)
+        return len(self.size) - 1
+
+    def ending(self, answer: list[str]) -> list[int]:
+        """For each word of the answer the length of the longest stretch of the question that ends with it."""
+        at, n, out = 0, 0, []
+        for w in answer:
+            while at and w not in self.next[at]:
+                at = self.link[at]
+                n = self.size[at]
+            if w in self.next[at]:
+                at = self.next[at][w]
+                n += 1
+            else:
+                n = 0
+            out.append(n)
+        return out
+
+
 def tiles(answer: list[str], question: list[str], least: int = TILE_WORDS) -> int:
     """Words of the answer in tiles of the question: greedy string tiling, longest tiles first.
 
     A stretch of the question may tile the answer more than once, as a
     question given back twice is still a copy.
     """
-    at: dict[str, list[int]] = {}
-    for j, w in enumerate(question):
-        at.setdefault(w, []).append(j)
-    longest = []
-    for i, w in enumerate(answer):
-        best = 0
-        for j in at.get(w, ()):
-            n = 0
-            while i + n < len(answer) and j + n < len(question) and answer[i + n] == question[j + n]:
-                n += 1
-            best = max(best, n)
-        longest.append(best)
-    marked = bytearray(len(answer))
+    longest = Runs(question).ending(answer)
+    free = [[0, len(answer)]]  # stretches without a tile, in order
+    covered = 0
     for i in sorted(range(len(answer)), key=lambda x: -longest[x]):
         if longest[i] < least:
             break
-        n = 0  # the tile shrinks where an earlier one lies
-        while n < longest[i] and not marked[i + n]:
-            n += 1
+        k = bisect_right(free, [i, len(answer) + 1]) - 1
+        if k < 0 or free[k][1] <= i:
+            continue
+        begin, end = free[k]
+        n = min(longest[i], i + 1 - begin)  # the tile shrinks where an earlier one lies
         if n >= least:
-            marked[i : i + n] = b"\1" * n
-    return sum(marked)
+            covered += n
+            free[k : k + 1] = [x for x in ([begin, i + 1 - n], [i + 1, end]) if x[0] < x[1]]
+    return covered
 
 
 _WRAPPER = re.compile(r"^\W*(you asked|you wrote|question|q|answer|a|frage|antwort|réponse|pregunta|respuesta)\s*:\s*", re.I | re.M)
@@ -167,14 +252,15 @@ def is_copy(question: str | None, answer: str) -> bool:
     return tiles(a, q) >= COPY_SHARE * len(a)
 
 
-def is_refusal(answer: str) -> bool:
-    """Whether the answer declines: it has a refusal, and little besides courtesies."""
+def is_refusal(answer: str, question: str | None = None) -> bool:
+    """Whether the answer declines: a clause declines the request, and there is little besides courtesies."""
+    asked = frozenset(words(question or ""))
     refused, content, total = False, 0, 0
     for s in _SENTENCE.split(answer.replace("’", "'")):
         n = len(words(s))
         if not n:
             continue
-        if REFUSALS.search(s):
+        if any(declines(c, asked) for c in _CLAUSE.split(s) if c.strip()):
             refused = True
             total += n
         elif not COURTESIES.match(s):
@@ -191,20 +277,63 @@ def script(text: str) -> str:
     return seen.most_common(1)[0][0] if seen else ""
 
 
-def language(text: str) -> tuple[str, float]:
-    """(language, margin) by function words and letters; ('', 0) if nothing speaks for any."""
-    kind = script(text)
-    if kind not in ("LATIN", ""):
-        return kind, 9.0
-    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    low = text.lower()
-    for w in _WORD.findall(low):
-        for lang, x in _WEIGHTS.get(w, {}).items():
-            score[lang] += x
-    for lang, pattern in _LETTERS.items():
-        score[lang] += 0.6 * len(pattern.findall(low))
-    first, second = sorted(score.items(), key=lambda x: -x[1])[:2]
-    return (first[0], first[1] - second[1]) if first[1] else ("", 0.0)
+class Languages:
+    """Tells languages by character n-grams: naive Bayes over n-grams of one to three letters within words."""
+
+    SIZES = (1, 2, 3)
+
+    def __init__(self, labelled: Iterable[tuple[str, str]] = ()):
+        counts: dict[str, Counter[str]] = {}
+        for lang, text in labelled:
+            counts.setdefault(lang, Counter()).update(self.grams(words(text)))
+        self.names = sorted(counts)
+        every = {g for c in counts.values() for g in c}
+        totals = {k: sum(c.values()) + len(every) for k, c in counts.items()}
+        self.table = {g: [math.log((counts[k][g] + 1) / totals[k]) for k in self.names] for g in every}
+
+    @classmethod
+    def grams(cls, tokens: Iterable[str]) -> Iterator[str]:
+        for w in tokens:
+            if not w.isdigit():
+                p = f"^{w}$"
+                for n in cls.SIZES:
+                    yield from (p[i : i + n] for i in range(len(p) - n + 1))
+
+    def tell(self, text: str, without: frozenset[str] = frozenset()) -> tuple[str, float]:
+        """(language, margin): the likeliest and the log odds against the next, by the words but those left out; ('', 0) if nothing speaks for any."""
+        kind = script(text)
+        if kind not in ("LATIN", ""):
+            return kind, math.inf
+        score = [0.0] * len(self.names)
+        for g in self.grams(w for w in words(text) if w not in without):
+            if g in self.table:
+                score = [a + b for a, b in zip(score, self.table[g])]
+        if len(score) < 2 or not any(score):
+            return "", 0.0
+        best, second = sorted(range(len(score)), key=lambda i: -score[i])[:2]
+        return self.names[best], score[best] - score[second]
+
+
+def seeds() -> dict[str, frozenset[str]]:
+    """Function words that only one of the languages has, by language: Spark's own lists."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    lists = {k: {w for w in StopWordsRemover.loadDefaultStopWords(n)} for k, n in (("en", "english"), ("de", "german"), ("fr", "french"), ("es", "spanish"))}
+    return {k: frozenset(x - set().union(*(y for j, y in lists.items() if j != k))) for k, x in lists.items()}
+
+
+def settled(text: str, seeds: dict[str, frozenset[str]]) -> str | None:
+    """The language whose function words a text holds, if it holds two or more, and three times as many as of any other."""
+    tokens = words(text)
+    n = sorted(((sum(w in s for w in tokens), k) for k, s in seeds.items()), reverse=True)
+    return n[0][1] if n and n[0][0] >= 2 and n[0][0] >= 3 * (n[1][0] if len(n) > 1 else 0) else None
+
+
+def languages(texts: DataFrame, language_rows: int = LANGUAGE_ROWS) -> Languages:
+    """The model trained on a bounded sample of texts: text."""
+    rows = texts.filter(F.col("text").isNotNull()).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().orderBy(F.xxhash64("text"), "text").limit(language_rows).collect()
+    known = seeds()
+    return Languages((lang, r["text"]) for r in rows if (lang := settled(r["text"], known)))
 
 
 def requested(question: str) -> set[str]:
@@ -212,65 +341,88 @@ def requested(question: str) -> set[str]:
     return {_LANGUAGE_OF[m.lower()] for m in _NAMED.findall(question)}
 
 
-def is_foreign(question: str | None, answer: str) -> bool:
-    """Whether the answer is in a language other than the question's, without being asked for."""
+def is_foreign(question: str | None, answer: str, model: Languages) -> bool:
+    """Whether the answer is in a language other than the question's, without being asked for.  Words of both, as names, don't count."""
     if not question:
         return False
-    mine, margin = language(answer)
-    theirs, other = language(question)
-    if not mine or not theirs or mine == theirs or margin < 1.5 or other < 0.5:
+    shared = frozenset(words(question)) & frozenset(words(answer))
+    mine, margin = model.tell(answer, shared)
+    theirs, other = model.tell(question, shared)
+    if not mine or not theirs or mine == theirs or margin < SURE or other < SURE:
         return False
     return mine not in requested(question)
 
 
 _VOID = {"br", "hr", "img", "input", "meta", "link"}
-_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»"}, {")", "]", "}", "”", "»"}
+_PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»"}
+_ENDINGS = frozenset(_PAIRS.values())
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*?(/?)>")
+_TOKEN = re.compile(r"(?P<fence>```+|~~~+)|(?P<code>`)|(?P<strong>\*\*)|(?P<tag></?[a-zA-Z][a-zA-Z0-9]*[^<>]*>)|(?P<quote>\")|(?P<bracket>[()\[\]{}“”„«»])|(?P<block>\n[ \t]*\n)")
 _MARKER = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s*$")
+_LOOSE = frozenset(["p", "li"])  # elements whose end may be left out
+
+
+class Frame(NamedTuple):
+    """What is open: its kind, what closes it, and where it began."""
+
+    kind: str
+    closer: str
+    at: int
+
+
+def parse(text: str) -> tuple[list[Frame], list[int]]:
+    """(frames still open at the end, places of closers that cross another frame), by a pushdown parser.
+
+    Only the frame on top of the stack can be closed.  A fence or code span
+    holds nothing but its own end; emphasis and quotations end with their block
+    at the latest; a closer whose opener lies deeper crosses it and closes
+    nothing; one without any opener is text.
+    """
+    stack: list[Frame] = []
+    crossed: list[int] = []
+
+    def close(mark: str, at: int) -> bool:
+        if stack and stack[-1].closer == mark:
+            stack.pop()
+            return True
+        if any(f.closer == mark for f in stack):
+            crossed.append(at)
+        return False
+
+    for m in _TOKEN.finditer(text):
+        kind, mark, at = m.lastgroup or "", m[0], m.start()
+        top = stack[-1] if stack else None
+        if top and top.kind in ("fence", "code"):
+            if (kind == top.kind and mark.startswith(top.closer)) or (top.kind == "code" and kind == "block"):
+                stack.pop()
+        elif kind == "block":
+            while stack and stack[-1].kind in ("strong", "quote"):
+                stack.pop()
+        elif kind in ("fence", "code"):
+            stack.append(Frame(kind, mark[:3], at))
+        elif kind == "tag":
+            slash, name, empty = _TAG.match(mark).groups()
+            if slash:
+                while stack and stack[-1].kind == "tag" and stack[-1].closer != name.lower() and stack[-1].closer in _LOOSE:
+                    stack.pop()
+                close(name.lower(), at)
+            elif name.lower() not in _VOID and not empty:
+                stack.append(Frame("tag", name.lower(), at))
+        elif kind in ("quote", "strong"):
+            if not close(mark, at) and not any(f.closer == mark for f in stack) and not (kind == "quote" and at and text[at - 1].isdigit()):  # 5" is a measure
+                stack.append(Frame(kind, mark, at))
+        elif mark in _ENDINGS and stack and stack[-1].closer == mark:
+            stack.pop()
+        elif mark in _PAIRS:
+            stack.append(Frame("bracket", _PAIRS[mark], at))
+        else:
+            close(mark, at)
+    return [f for f in stack if not (f.kind == "tag" and f.closer in _LOOSE)], crossed
 
 
 def open_at_end(text: str) -> bool:
-    """Pushdown parser: whether a fence, bracket, quotation, tag, emphasis or list item is still open at the end."""
-    stack: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        ch = text[i]
-        if text.startswith("```", i) or text.startswith("~~~", i):
-            mark = text[i : i + 3]
-            if mark in stack:
-                del stack[stack.index(mark) :]  # a closed fence closes all that it holds
-            else:
-                stack.append(mark)
-            i += 3
-            continue
-        if text.startswith("**", i) and "```" not in stack:
-            stack.remove("**") if "**" in stack else stack.append("**")
-            i += 2
-            continue
-        if ch == "`" and "```" not in stack:
-            stack.remove("`") if "`" in stack else stack.append("`")
-        elif ch == "<" and (m := _TAG.match(text, i)):
-            name = m[2].lower()
-            if m[1]:
-                if f"<{name}" in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(f"<{name}") :]
-            elif name not in _VOID and not m[3]:
-                stack.append(f"<{name}")
-            i = m.end()
-            continue
-        elif ch == '"':
-            if '"' in stack:
-                del stack[len(stack) - 1 - stack[::-1].index('"') :]
-            elif not (i and text[i - 1].isdigit()):  # 5" is a measure
-                stack.append('"')
-        elif ch == "“" and stack and stack[-1] == "“":
-            stack.pop()  # closes „
-        elif ch in _OPEN:
-            stack.append(_OPEN[ch])
-        elif ch in _CLOSE and ch in stack:
-            del stack[len(stack) - 1 - stack[::-1].index(ch) :]
-        i += 1
-    if any(x not in ("<p", "<li", "*") for x in stack):
+    """Whether a fence, bracket, quotation, tag, emphasis or list item is still open at the end."""
+    if parse(text)[0]:
         return True
     lines = text.rstrip().split("\n")
     return len(lines) > 1 and bool(_MARKER.match(lines[-1]))
@@ -407,22 +559,22 @@ def is_truncated(question: str | None, answer: str, endings: Endings) -> bool:
     return seen if isinstance(seen, bool) else breaks_off(*seen, endings)
 
 
-def plain_defect(question: str | None, answer: str | None) -> str | None:
+def plain_defect(question: str | None, answer: str | None, model: Languages = Languages()) -> str | None:
     """empty, copy, refusal, language or None."""
     if is_empty(answer):
         return "empty"
     if is_copy(question, answer):
         return "copy"
-    if is_refusal(answer):
+    if is_refusal(answer, question):
         return "refusal"
-    if is_foreign(question, answer):
+    if is_foreign(question, answer, model):
         return "language"
     return None
 
 
-def defect(question: str | None, answer: str | None, endings: Endings) -> str | None:
+def defect(question: str | None, answer: str | None, endings: Endings, model: Languages = Languages()) -> str | None:
     """empty, copy, refusal, language, truncated or None."""
-    return plain_defect(question, answer) or ("truncated" if is_truncated(question, answer, endings) else None)
+    return plain_defect(question, answer, model) or ("truncated" if is_truncated(question, answer, endings) else None)
 
 
 def _flushed(batches: Iterator[pd.DataFrame], keys: Callable[[str], Iterable[tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
@@ -506,8 +658,10 @@ def truncated(asking: DataFrame, answers: DataFrame) -> DataFrame:
     return asking.select(*key, end).join(facts, "end").join(hits, key, "left").mapInPandas(decide, schema)
 
 
-def defects(df: DataFrame) -> DataFrame:
+def defects(df: DataFrame, language_rows: int = LANGUAGE_ROWS) -> DataFrame:
     """(src_table, row_id, defect) of each defective pair; df: src_table, row_id, question, answer."""
+    texts = df.select(F.col("question").alias("text")).union(df.select(F.col("answer").alias("text")))
+    model = df.sparkSession.sparkContext.broadcast(languages(texts, language_rows))  # n-grams of three letters of a bounded sample
     rows = df.select("src_table", F.col("row_id").cast("long").alias("row_id"), "question", "answer").dropDuplicates(["src_table", "row_id"])
     schema = "src_table string, row_id long, defect string, tokens array<string>, named boolean, lower boolean, whole boolean"
 
@@ -515,7 +669,7 @@ def defects(df: DataFrame) -> DataFrame:
         for x in batches:
             out = []
             for table, i, q, a in zip(x["src_table"], x["row_id"], x["question"], x["answer"]):
-                found = plain_defect(q, a)
+                found = plain_defect(q, a, model.value)
                 seen = last_words(q, a) if found is None else False
                 if seen is True:
                     found = "truncated"
@@ -523,7 +677,7 @@ def defects(df: DataFrame) -> DataFrame:
                     out.append((table, i, found, *((None,) * 4 if found else seen)))
             yield pd.DataFrame(out, columns=["src_table", "row_id", "defect", "tokens", "named", "lower", "whole"])
 
-    seen = cut(rows.mapInPandas(work, schema))
+    seen = cut(dealt(rows).mapInPandas(work, schema))
     key = ["tokens", "named", "lower", "whole"]
     asking = seen.filter(F.col("defect").isNull())
     answers = df.filter(F.col("answer").isNotNull()).select("answer").distinct()

@@ -1,8 +1,10 @@
 """Defects of pairs on literals."""
 
+import time
+
 import pytest
 
-from corpusloom.llm.pairs import Endings, defect, defects, is_copy, is_foreign, is_refusal, language, open_at_end, requested, tiles
+from corpusloom.llm.pairs import Endings, Languages, defect, defects, is_copy, is_foreign, is_refusal, languages, open_at_end, parse, requested, tiles
 
 SENTENCES = ["The tool reads the %s first and then writes a copy next to it.", "Because the %s is old, the tool has to check every file again.", "You can open the %s from the main window, but keep a copy just in case."]
 NOUNS = ["file", "folder", "index", "cable", "window", "archive", "printer", "driver", "chart", "notebook"]
@@ -28,6 +30,10 @@ def test_copies():
     assert is_copy(q, q.upper()) and is_copy(q, f"You asked: {q}") and is_copy(q, f"{q} {q}") and is_copy(q, "What does the tool do with") and is_copy(q, "What does tool do with an index.")
     assert not is_copy(q, f"{q} It reads the folder first and then writes a file next to it.") and not is_copy(q, "an index") and not is_copy(None, "x")
     assert tiles("a b c x a b".split(), "a b c".split()) == 5
+    assert tiles("b c a b".split(), "a b c".split()) == 4 and tiles([], ["a"]) == 0 and tiles(["a", "b"], []) == 0
+    begin = time.process_time()
+    assert tiles(["w"] * 300, ["w"] * 2_000) == 300 and tiles(["w"] * 2_000, ["w"] * 300) == 2_000
+    assert time.process_time() - begin < 0.1
 
 
 @pytest.mark.parametrize(
@@ -43,10 +49,30 @@ def test_no_refusals(text):
     assert not is_refusal(text)
 
 
-def test_languages():
+@pytest.mark.parametrize(
+    "question, answer",
+    [
+        ("Who may enter the gallery?", "We are not allowed to enter."), ("Can you see the moon from there?", "No, I am unable to see it."), ("Why was it cold?", "We cannot provide heating in the hall."), ("What happened?", "No answer came back from the server."),
+        ("Wer darf hinein?", "Ich darf nicht hinein, aber die Besucher dürfen es."), ("Qui entre ?", "Je ne peux pas entrer dans la salle."), ("¿Quién entra?", "No puedo abrir la puerta del museo."), ("Where is it?", "It is beyond the river, outside my town."),
+    ],
+)
+def test_other_acts_that_fail_are_no_refusals(question, answer):
+    assert not is_refusal(answer, question)
+
+
+@pytest.mark.parametrize("question, answer", [("What is the Blue Desk?", "I must decline to explain Blue Desk."), ("What is X?", "No comment on X."), ("Was ist Tabo?", "Über Tabo möchte ich nicht sprechen."), ("Qu'est-ce que Tabo ?", "Aucune réponse ne peut être donnée sur Tabo."), ("¿Qué es Tabo?", "No me está permitido responder sobre Tabo.")])
+def test_refusals_of_what_was_asked(question, answer):
+    assert is_refusal(answer, question)
+
+
+def test_languages(spark):
     en, de = "What does the tool do with the file when it is old?", "Das Werkzeug muss zuerst die Datei prüfen und dann warten."
-    assert language(en)[0] == "en" and language(de)[0] == "de" and language("это русский текст")[0] == "CYRILLIC" and language("123")[0] == ""
-    assert is_foreign(en, de) and not is_foreign("Answer in German: what does the tool do?", de) and not is_foreign(None, de)
+    more = ["The tool reads what they have written and then it checks that this is there.", "Wenn die Datei nicht da ist, muss das Werkzeug auf sie warten und dann noch einmal prüfen."]
+    model = languages(spark.createDataFrame([(t,) for t in [en, de, *more, None, ""]], "text string"))
+    assert model.names == ["de", "en"] and model.tell("Die Prüfung der Datei dauert.")[0] == "de" and model.tell("Check the written file.")[0] == "en"
+    assert model.tell("это русский текст")[0] == "CYRILLIC" and model.tell("123")[0] == "" and Languages().tell("text") == ("", 0.0)
+    assert is_foreign(en, de, model) and not is_foreign("Answer in German: what does the tool do?", de, model) and not is_foreign(None, de, model)
+    assert not is_foreign(en, "No", model)
     assert requested("Bitte auf Französisch, por favor en español") == {"fr", "es"}
 
 
@@ -55,6 +81,14 @@ def test_pushdown(text, open_):
     assert open_at_end(text) is open_
 
 
+def test_only_the_top_frame_closes():
+    frames, crossed = parse("( [ ) ]")
+    assert [(f.kind, f.at) for f in frames] == [("bracket", 0)] and crossed == [4]
+    assert parse("```\n( [ `x\n```")[0] == [] and parse("a) one b) two")[0] == [] and parse('5" and 6" wide')[0] == []
+    assert [f.kind for f in parse('He said "so (and')[0]] == ["quote", "bracket"]
+    assert parse('an odd " mark\n\nand an end.')[0] == [] and parse("<ul><li>a<li>b</ul>")[0] == []
+
+
 def test_truncation(endings):
     whole = SENTENCES[0] % "file"
     assert defect("Q?", whole[:-1], endings) is None  # only the full stop is missing
