@@ -3,14 +3,16 @@
 Method.  Copies of a vector are folded into one class.  Every class vector is
 hashed into cells by cross-polytope codes of random rotations (several tables);
 within a cell the vectors form blocks, and every pair of blocks is one int8
-product tile.  A tile gives each cosine with a bound on its quantisation error;
-pairs whose upper bound reaches the threshold, and one of whose ends doesn't
-already have k better ones for certain, survive.  Survivors are recomputed in
-double from the float vectors, and the k best of each vector are merged.
+product tile with exact integer sums.  A tile gives each cosine with a bound on
+its quantisation error; pairs whose upper bound reaches the threshold, and one
+of whose ends doesn't already have k better ones for certain (a heap of lower
+bounds a row), survive.  Survivors are recomputed in double from the float
+vectors, and the k best of each vector are merged.
 
 Accuracy loss: a pair is missed only if it shares no cell in any table.  The
 number of tables is set so that the recall of the k best pairs stays near 0.99
-whatever the cell size (measured in tests/llm/test_vectors.py).
+whatever the cell size (measured in tests/llm/test_joins.py).  ``exact`` does
+all tiles instead, and misses nothing.
 
 Defined results: null, all-zero, too short vectors and vectors with null or
 non-finite numbers take no part; rows repeated under one key count once; a
@@ -20,6 +22,7 @@ named are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import shuffle_partitions
 
-#: (dimensions of the second hash, 0 for none; number of tables).  Finer cells need more tables for the same recall.
-LEVELS = ((0, 6), (2, 9), (8, 12), (32, 14))
+#: (dimensions of the further hashes; number of tables).  Finer cells need more tables for the same recall.
+LEVELS = (((), 6), ((2,), 9), ((8,), 12), ((32,), 16), ((32, 4), 24), ((32, 32), 36))
 CELL_ROWS = 8192  # wanted rows of a cell; decides the level
 TILE = 1024  # rows of a block in a product tile
 HOT_ROWS = 32_768  # cells above this are spread over several tasks
@@ -42,12 +45,9 @@ HOT_BROADCAST = 500_000  # hot cells that may be broadcast (12 bytes each)
 SEED = 20240229
 
 
-def level_for(rows: int) -> tuple[int, int]:
-    """The coarsest cells that hold about CELL_ROWS rows each."""
-    for second, tables in LEVELS:
-        if rows / (128 * max(1, 2 * second)) <= CELL_ROWS:
-            return second, tables
-    return LEVELS[-1]
+def level_for(rows: int) -> tuple[tuple[int, ...], int]:
+    """The coarsest cells that hold about CELL_ROWS rows each, for vectors of 64 numbers; the finest beyond."""
+    return next((x for x in LEVELS if rows / (128 * math.prod(2 * n for n in x[0])) <= CELL_ROWS), LEVELS[-1])
 
 
 @lru_cache(maxsize=64)
@@ -62,13 +62,13 @@ def _polytope(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
     return (2 * k + (y[np.arange(len(y)), k] > 0)).astype(np.int64)
 
 
-def cells(x: np.ndarray, table: int, second: int) -> np.ndarray:
+def cells(x: np.ndarray, table: int, further: tuple[int, ...]) -> np.ndarray:
     """The cell of each row of x in one table."""
     dim = x.shape[1]
-    first = _polytope(x, _rotation(dim, table, 0))
-    if not second:
-        return first
-    return first * 4096 + _polytope(x, _rotation(dim, table, 1)[:, : min(second, dim)])
+    out = _polytope(x, _rotation(dim, table, 0))
+    for part, n in enumerate(further, 1):
+        out = out * (2 * min(n, dim)) + _polytope(x, _rotation(dim, table, part)[:, : min(n, dim)])
+    return out
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,32 +100,43 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield at, ids[at], _unit(_matrix(vec.take(pa.array(at))))
 
 
-def hashed(classes: DataFrame, second: int, tables: int) -> DataFrame:
-    """One row a class and table: group, cell, and the packed int8 vector."""
+def hashed(classes: DataFrame, further: tuple[int, ...], tables: int) -> DataFrame:
+    """One row a class and table: space, tab, cell, and the packed int8 vector; all in one cell of their space without tables."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            space = batch.column("space").to_numpy()
+            space = batch.column("space")
             for at, ids, x in _chunks(batch):
                 codes, scale, rest = quantise(x)
                 packed = np.concatenate([ids[:, None].view(np.int8), scale[:, None].view(np.int8), rest[:, None].view(np.int8), codes], axis=1)
                 width = packed.shape[1]
                 offsets = pa.py_buffer((np.arange(len(ids) + 1) * width).astype(np.int32).tobytes())
                 rows = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, pa.py_buffer(np.ascontiguousarray(packed).tobytes())])
-                for t in range(tables):
-                    cell = (space[at].astype(np.int64) * 64 + t) * (1 << 24) + cells(x, t, second)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), rows], ["cell", "row"])
+                for t in range(max(1, tables)):
+                    cell = cells(x, t, further) if tables else np.zeros(len(ids), np.int64)
+                    yield pa.RecordBatch.from_arrays([space.take(pa.array(at)), pa.array(np.full(len(ids), t, np.int32)), pa.array(cell), rows], ["space", "tab", "cell", "row"])
 
-    return classes.select("cid", "space", "vec").mapInArrow(work, "cell long, row binary")
+    return classes.select("cid", "space", "vec").mapInArrow(work, "space long, tab int, cell long, row binary")
 
 
-def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bounds of the rest, dequantised rows in float32)."""
+def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, scales, bounds of the rest, int8 codes)."""
     data = np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1)
     ids = np.ascontiguousarray(data[:, :8]).view(np.int64)[:, 0]
     scale = np.ascontiguousarray(data[:, 8:12]).view(np.float32)[:, 0]
     rest = np.ascontiguousarray(data[:, 12:16]).view(np.float32)[:, 0]
-    return ids, rest, data[:, 16:] * scale[:, None]
+    return ids, scale, rest, data[:, 16:]
+
+
+EXACT_DIMS = 1024  # numbers whose products of int8 codes add up exactly in float32 (below 2 ** 24)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The integer products of two blocks of int8 codes (held as float32): each partial sum is a whole number below 2 ** 24, and so exact in the fast product."""
+    out = a[:, :EXACT_DIMS] @ b[:, :EXACT_DIMS].T
+    for k in range(EXACT_DIMS, a.shape[1], EXACT_DIMS):
+        out = out.astype(np.float64) + a[:, k : k + EXACT_DIMS] @ b[:, k : k + EXACT_DIMS].T
+    return out
 
 
 def _bound(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray | float:
@@ -133,38 +144,79 @@ def _bound(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray | float:
     return a * (1 + b) + b + 2e-5
 
 
+class Heaps:
+    """For every row a binary heap of the k largest values pushed, the least of them at its root."""
+
+    def __init__(self, n: int, k: int):
+        self.values = np.full((n, k), -2.0, np.float32)
+
+    def root(self) -> np.ndarray:
+        return self.values[:, 0]
+
+    def push(self, who: np.ndarray, value: np.ndarray) -> None:
+        """Push many values; a row's go in one after another, its largest first, those of different rows at once."""
+        keep = value > self.values[who, 0]
+        who, value = who[keep], value[keep]
+        if not len(who):
+            return
+        order = np.lexsort((-value, who))
+        who, value = who[order], value[order]
+        first = np.r_[True, who[1:] != who[:-1]]
+        turn = np.arange(len(who)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        for t in range(min(self.values.shape[1], int(turn.max()) + 1)):
+            at = np.flatnonzero(turn == t)
+            at = at[value[at] > self.values[who[at], 0]]
+            self.values[who[at], 0] = value[at]
+            self._sift(who[at])
+
+    def _sift(self, rows: np.ndarray) -> None:
+        """Let new roots sink."""
+        k = self.values.shape[1]
+        at = np.zeros(len(rows), np.int64)
+        while len(rows):
+            left, right = 2 * at + 1, 2 * at + 2
+            go = left < k
+            rows, at, left, right = rows[go], at[go], left[go], right[go]
+            child = np.where((right < k) & (self.values[rows, np.minimum(right, k - 1)] < self.values[rows, left]), right, left)
+            go = self.values[rows, child] < self.values[rows, at]
+            rows, at, child = rows[go], at[go], child[go]
+            self.values[rows, at], self.values[rows, child] = self.values[rows, child], self.values[rows, at]
+            at = child
+
+
 class Survivors:
-    """Per row a heap of the k best lower bounds, and the pairs that may still count."""
+    """The pairs that may still count, by heaps of the k best lower bounds a row."""
 
     def __init__(self, n: int, k: int, least: float):
-        self.best, self.least = np.full((n, k), -2.0, np.float32), least
+        self.heaps, self.least = Heaps(n, k), least
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held, self.sift_at = 0, SIFT
 
-    def tile(self, a: slice, b: slice, rows: np.ndarray, rest: np.ndarray) -> None:
-        """The product of block a with block b of the dequantised rows.
+    def tile(self, a: slice, b: slice, codes: np.ndarray, scale: np.ndarray, rest: np.ndarray) -> None:
+        """The int8 product of block a with block b.
 
         One bound for the whole tile leaves few pairs; those get their own.
         """
-        approx = rows[a] @ rows[b].T
+        dots = products(codes[a], codes[b])
         worst = _bound(rest[a].max(), rest[b].max())
-        near = approx >= self.least - worst
+        dots *= scale[b][None, :]
+        near = dots >= ((self.least - worst) / scale[a])[:, None]
         if a == b:
             near = np.triu(near, 1)
         at = np.flatnonzero(near)
         if not len(at):
             return
         i, j = np.divmod(at, near.shape[1])
-        value, size = approx[i, j], _bound(rest[a][i], rest[b][j])
+        value, size = dots[i, j] * scale[a][i], _bound(rest[a][i], rest[b][j])
         keep = value + size >= self.least
         i, j, value, size = i[keep] + a.start, j[keep] + b.start, value[keep], size[keep]
-        self._merge(i, value - size)
-        self._merge(j, value - size)
+        self.heaps.push(i, (value - size).astype(np.float32))
+        self.heaps.push(j, (value - size).astype(np.float32))
         self._add(i, j, value + size)
 
     def _add(self, i: np.ndarray, j: np.ndarray, upper: np.ndarray) -> None:
         """Keep pairs that may still count; the floors only rise, so earlier pairs are sifted again now and then."""
-        floor = self.best[:, -1]
+        floor = self.heaps.root()
         keep = (upper >= floor[i]) | (upper >= floor[j])
         self.pairs.append((i[keep], j[keep], upper[keep]))
         self.held += int(keep.sum())
@@ -175,75 +227,65 @@ class Survivors:
             self.held = int(keep.sum())
             self.sift_at = max(SIFT, 2 * self.held)
 
-    def _merge(self, who: np.ndarray, low: np.ndarray) -> None:
-        if not len(who):
-            return
-        k = self.best.shape[1]
-        order = np.lexsort((-low, who))
-        who, low = who[order], low[order]
-        first = np.r_[True, who[1:] != who[:-1]]
-        rank = np.arange(len(who)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        keep = rank < k
-        rows, fresh = np.unique(who), np.full((first.sum(), k), -2.0, np.float32)
-        fresh[(np.cumsum(first) - 1)[keep], rank[keep]] = low[keep]
-        self.best[rows] = -np.sort(-np.concatenate([self.best[rows], fresh], axis=1), axis=1)[:, :k]
-
     def left(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         i, j, up = (np.concatenate(x) for x in zip(*self.pairs))
-        floor = self.best[:, -1]
+        floor = self.heaps.root()
         keep = (up >= floor[i]) | (up >= floor[j])
         return i[keep], j[keep]
 
 
 def _join_blocks(rows: list[bytes], part: np.ndarray | None, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Survivors of a cell, or of the pair of parts of a hot cell (part: 0 or 1 a row)."""
-    ids, rest, x = _unpack(rows)
+    ids, scale, rest, x = _unpack(rows)
+    x = x.astype(np.float32)
     if part is not None:
         order = np.argsort(part, kind="stable")
-        ids, rest, x = ids[order], rest[order], x[order]
+        ids, scale, rest, x = ids[order], scale[order], rest[order], x[order]
     n, cut_at = len(ids), int((part == 0).sum()) if part is not None else 0
     found = Survivors(n, k, least)
     blocks = [slice(s, min(s + TILE, end)) for begin, end in (((0, n),) if part is None else ((0, cut_at), (cut_at, n))) for s in range(begin, end, TILE)]
     for n_a, a in enumerate(blocks):
         for b in blocks[n_a:]:
             if part is None or (a.start < cut_at <= b.start):
-                found.tile(a, b, x, rest)
+                found.tile(a, b, x, scale, rest)
     i, j = found.left()
     return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
 
-def candidate_pairs(classes: DataFrame, rows: int, k: int, least: float) -> DataFrame:
-    """Distinct pairs (a < b) of class ids that may be among the k best and reach ``least``."""
+def candidate_pairs(classes: DataFrame, rows: int, k: int, least: float, exact: bool = False) -> DataFrame:
+    """Distinct pairs (a < b) of class ids that may be among the k best and reach ``least``; with exact all of them."""
     spark = classes.sparkSession
-    second, tables = level_for(rows)
-    index = hashed(classes, second, tables)
-    sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > HOT_ROWS).select("cell", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
-    if rows * tables / HOT_ROWS <= HOT_BROADCAST:  # so many hot cells there are at most
+    further, tables = ((), 0) if exact else level_for(rows)
+    index = hashed(classes, further, tables)
+    place = ["space", "tab", "cell"]
+    sizes = index.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.filter(F.col("n") > HOT_ROWS).select(*place, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
+    if rows * max(1, tables) / HOT_ROWS <= HOT_BROADCAST:  # so many hot cells there are at most
         hot = F.broadcast(hot)
     # A hot cell's rows go to every pair of parts that holds theirs; other cells are one group.
     placed = (
-        index.join(hot, "cell", "left")
+        index.join(hot, place, "left")
         .withColumn("own", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")))
         .withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
         .select(
-            "cell",
+            *place,
             F.when(F.col("other") < 0, -1).otherwise(F.least("own", "other")).alias("p"),
             F.when(F.col("other") < 0, -1).otherwise(F.greatest("own", "other")).alias("q"),
             F.when(F.col("other") < 0, -1).otherwise(F.col("own")).alias("own"),
             "row",
         )
     )
-    groups = max(shuffle_partitions(spark), int(rows * tables / 60_000) + 1)
-    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("cell", "p", "q"), F.lit(groups)).cast("int"))
+    groups = max(shuffle_partitions(spark), int(rows * max(1, tables) / 60_000) + 1)
+    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64(*place, "p", "q"), F.lit(groups)).cast("int"))
 
     def work(keys: tuple, data: pa.Table) -> pa.Table:
-        cell, p, q, own = (data.column(x).to_numpy() for x in ("cell", "p", "q", "own"))
+        keyed = [data.column(x).to_numpy() for x in ("q", "p", "cell", "tab", "space")]
+        q, p, own = keyed[0], keyed[1], data.column("own").to_numpy()
         rows_ = data.column("row").combine_chunks() if data.num_rows else data.column("row")
-        order = np.lexsort((q, p, cell))
-        edge = np.flatnonzero(np.r_[True, (np.diff(cell[order]) != 0) | (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0), True])
+        order = np.lexsort(keyed)
+        edge = np.flatnonzero(np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in keyed], axis=0), True])
         out_a, out_b = [], []
         for s, e in zip(edge[:-1], edge[1:]):
             if e - s < 2:
@@ -265,8 +307,8 @@ def candidate_pairs(classes: DataFrame, rows: int, k: int, least: float) -> Data
 
 def exact_cosines(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Cosine of each pair, in double and rounded to 6 decimals."""
-    vectors = classes.select("cid", "vec")
-    both = pairs.join(vectors.select(F.col("cid").alias("b"), F.col("vec").alias("vb")), "b").join(vectors.select(F.col("cid").alias("a"), F.col("vec").alias("va")), "a")
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("vec").alias(f"v{x}"), F.col("model").alias(f"m{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").filter((F.col("ma") == F.col("mb")) & (F.size("va") == F.size("vb")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,24 +335,34 @@ def usable(df: DataFrame, dim: str = "dim") -> DataFrame:
     return df.filter(ok)
 
 
-def nearest(df: DataFrame, k: int = 5, least: float = 0.85, rows: int | None = None) -> DataFrame:
+def named_classes(good: DataFrame) -> DataFrame:
+    """good with cid, the class of equal model and numbers.
+
+    cid is a 64-bit hash; where two different classes have the same (a second
+    hash tells), all but one take another.
+    """
+    both = good.withColumn("cid", F.xxhash64("model", "vec")).withColumn("second", F.xxhash64(F.lit(SEED), "vec", "model"))
+    clash = both.groupBy("cid").agg(F.min("second").alias("first_one"), F.max("second").alias("last_one")).filter("first_one <> last_one").select("cid", "first_one")
+    # n rows have about n * n / 2 ** 65 clashes: a handful in ten billion
+    other = F.col("first_one").isNotNull() & (F.col("second") != F.col("first_one"))
+    return both.join(F.broadcast(clash), "cid", "left").withColumn("cid", F.when(other, F.xxhash64("cid", "second")).otherwise(F.col("cid"))).drop("second", "first_one")
+
+
+def nearest(df: DataFrame, k: int = 5, least: float = 0.85, rows: int | None = None, exact: bool = False) -> DataFrame:
     """The up to k nearest of each key among those of its model: (key, other, cosine, rank).
 
     df: key string, model string, dim int, vec array<float>; keys must be
     unique except for exact copies of a row.  Cosines below ``least`` don't
     count; ties go to the smaller key (by code point).  ``rows``: an estimate
     of the number of rows (it decides the cell size only); counted if None.
+    ``exact``: all tiles, quadratic in the rows.
     """
-    spark = df.sparkSession
     rows = df.count() if rows is None else rows
     good = usable(df).select("key", "model", F.col("vec").cast("array<float>").alias("vec"))
-    # Copies: the class is named by two 64-bit hashes of model and numbers, folded to one id of 64 bits that joins use.
-    named = good.withColumn("cid", F.xxhash64("model", "vec"))
-    classes = named.groupBy("cid").agg(
-        F.first("vec").alias("vec"), F.first("model").alias("model")
-    ).withColumn("space", F.pmod(F.hash("model"), F.lit(1 << 20)))
+    named = named_classes(good)
+    classes = named.groupBy("cid").agg(F.first("vec").alias("vec"), F.first("model").alias("model")).withColumn("space", F.xxhash64("model", F.size("vec")))
     members = named.select("cid", "key").distinct()
-    pairs = candidate_pairs(classes, rows, k, least)
+    pairs = candidate_pairs(classes, rows, k, least, exact)
     near = exact_cosines(pairs, classes).filter(F.col("cosine") >= least)
     edges = near.select("a", "b", "cosine").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
 

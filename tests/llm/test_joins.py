@@ -82,6 +82,44 @@ def test_nearest_recall(spark, monkeypatch, hot):
     assert vectors.nearest(df.limit(0), 5, 0.85).count() == 0
 
 
+def test_exact_mode_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HOT_ROWS", 200)
+    x = clustered(np.random.default_rng(8), 700, 24)
+    keys = [f"t:{i}" for i in range(len(x))]
+    df = spark.createDataFrame([(k, "m", 24, v.tolist()) for k, v in zip(keys, x)], "key string, model string, dim int, vec array<float>")
+    assert {(r["key"], r["other"]) for r in vectors.nearest(df, 5, 0.7, exact=True).collect()} == brute(keys, x, 5, 0.7)
+
+
+def test_models_and_dimensions_do_not_mix(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    wide = rng.normal(size=3000)
+    rows = [(f"{m}:{d}:{i}", m, d, (wide[:d] * (1 + 0.001 * i)).tolist()) for m in ("a", "b") for d in (3, 64, 3000) for i in range(3)]
+    df = spark.createDataFrame(rows, "key string, model string, dim int, vec array<float>")
+    for level in (((2,), 2), ((32, 4), 2)):
+        monkeypatch.setattr(vectors, "LEVELS", (level,))
+        got = {(r["key"], r["other"]) for r in vectors.nearest(df, 5, 0.9).collect()}
+        assert got == {(a[0], b[0]) for a in rows for b in rows if a != b and a[1:3] == b[1:3]}
+
+
+@given(st.integers(1, 7), st.lists(st.tuples(st.integers(0, 3), st.integers(-50, 50)), max_size=60), st.integers(1, 20))
+def test_heaps_hold_the_largest(k, pushed, batch):
+    heaps, want = vectors.Heaps(4, k), [[] for _ in range(4)]
+    for b in range(0, len(pushed), batch):
+        part = pushed[b : b + batch]
+        heaps.push(np.array([w for w, _ in part], int), np.array([v / 50 for _, v in part], np.float32))
+        for w, v in part:
+            want[w].append(np.float32(v / 50))
+    for row, values in zip(heaps.values, want):
+        best = sorted(values, reverse=True)[:k]
+        assert sorted((v for v in row if v > -2), reverse=True) == best and row[0] == min(row)
+
+
+def test_integer_products_are_exact():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(-127, 128, (5, 2500)).astype(np.int8) for _ in range(2))
+    assert (vectors.products(a.astype(np.float32), b.astype(np.float32)) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+
+
 def test_levels_keep_their_recall():
     rng = np.random.default_rng(5)
     x = clustered(rng, 4000, 64)
@@ -95,7 +133,7 @@ def test_levels_keep_their_recall():
         for t in range(tables):
             c = vectors.cells(x, t, second)
             hit |= c[a] == c[b]
-        assert hit.mean() >= 0.95, (second, hit.mean())
+        assert hit.mean() >= 0.975, (second, hit.mean())
 
 
 def test_quantisation_bound_holds():
