@@ -6,7 +6,8 @@ mixture; a is bisected to the largest value at which no source needs more
 repetitions than it may have.  Without targets, w ~ s**a with a bisected to a
 target entropy.  Each source's budget is then realised as whole passes over its
 documents and one pass over the head of a permutation; each use goes to a block
-by its place in the pass, so every block holds the mixture.
+by its place in the pass, so every block holds the mixture, and has a position
+there: in order of block and position the uses are permuted block by block.
 
 Defined results: sources are compared after trimming and lower-casing; null
 and blank sources, null and empty texts, and sources without a target are not
@@ -28,21 +29,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a rank file; it must be readable on every executor
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a rank file that the driver reads and ships with the job
 # Fixed value: the pattern that splits text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS = 4096  # of the permutation of a source; only one of them is ever sorted
 BLOCKS = 64
-MAX_SOURCES = 100_000  # rows of targets that the driver reads
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(ranks: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
 def clean_source(source: Column) -> Column:
@@ -53,8 +52,11 @@ def clean_source(source: Column) -> Column:
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens) of documents with a source and a text."""
 
+    with open(tokenizer, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: about a megabyte
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(ranks.value)
         for batch in batches:
             n = [len(encoding.encode_ordinary(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
@@ -114,7 +116,7 @@ class Mixture:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER, seed: int = 7, blocks: int = BLOCKS):
         spark = documents.sparkSession
-        rows = targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null").limit(MAX_SOURCES).collect()
+        rows = targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null").collect()  # settings: one row a source
         self.targets = {r["source"]: float(r["target_share"] or 0) for r in rows}
         self.repeats = {r["source"]: int(r["max_repeats"] or 0) for r in rows}
         counted = cut(token_counts(documents, tokenizer))
@@ -149,7 +151,8 @@ class Mixture:
         mixed = F.when(F.col("turn") * 1.0 + 1 <= F.col("passes"), F.pmod(F.xxhash64("place", "turn"), F.lit(1 << 32))).otherwise(F.col("place"))
         at = (F.col("turn") + mixed / (1 << 32)) / F.col("passes")
         block = F.least(F.floor(at * blocks), F.lit(blocks - 1)).cast("int")
-        return rounds.union(once).select(block.alias("block"), "doc_id", "source", (F.col("turn") + 1).alias("use"), "tokens")
+        order = F.xxhash64("doc_id", "turn", F.lit(seed + 1)).alias("position")
+        return rounds.union(once).select(block.alias("block"), order, "doc_id", "source", (F.col("turn") + 1).alias("use"), "tokens")
 
     def shares(self) -> DataFrame:
         """source, target_share, weight, available_tokens, reached_tokens, reached_share, documents, most_uses."""

@@ -18,14 +18,19 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.union(graph)
 
 
+def rows(spark: SparkSession, sf_dir: str) -> int:
+    """From the files' footers."""
+    return sum(table(spark, sf_dir, t).count() for t in ("corpus_analysis", "graph_data"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(records(spark, sf_dir), THRESHOLD, LEAST_TERMS)
+    return similar_pairs(records(spark, sf_dir), THRESHOLD, LEAST_TERMS, rows(spark, sf_dir))
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a record: its class of equal sets and the number of other classes similar to it."""
     classes, members = classes_of(records(spark, sf_dir), LEAST_TERMS)
-    pairs = similar_classes(classes, THRESHOLD)
+    pairs = similar_classes(classes, THRESHOLD, rows(spark, sf_dir))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("links"))
     return members.join(degree, "cid", "left").select("rec", F.col("cid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

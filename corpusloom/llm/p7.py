@@ -22,6 +22,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
+def p7_stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached at twice the size that meets all targets: the exponent is bisected to what the repetitions allow."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")
+    return Mixture(documents, targets, total=2 * Mixture(documents, targets).total).shares()
+
+
 def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights without targets: natural shares tempered to the entropy of the targets."""
     m = table(spark, sf_dir, "source_targets").select("target_share").collect()
@@ -32,5 +38,5 @@ def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, natural[k], w[k]) for k in sorted(w)], "source string, natural_share double, weight double")
 
 
-QUERIES = {"p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_tempered": p7_tempered}
+QUERIES = {"p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_stretched": p7_stretched, "p7_tempered": p7_tempered}
 SQL: dict[str, str] = {}

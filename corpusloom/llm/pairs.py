@@ -314,12 +314,18 @@ class Languages:
         return self.names[best], score[best] - score[second]
 
 
-def seeds() -> dict[str, frozenset[str]]:
-    """Function words that only one of the languages has, by language: Spark's own lists."""
+def function_words() -> dict[str, frozenset[str]]:
+    """Function words by language: Spark's own lists."""
     from pyspark.ml.feature import StopWordsRemover
 
-    lists = {k: {w for w in StopWordsRemover.loadDefaultStopWords(n)} for k, n in (("en", "english"), ("de", "german"), ("fr", "french"), ("es", "spanish"))}
-    return {k: frozenset(x - set().union(*(y for j, y in lists.items() if j != k))) for k, x in lists.items()}
+    names = {"en": "english", "de": "german", "fr": "french", "es": "spanish"}
+    return {k: frozenset(StopWordsRemover.loadDefaultStopWords(n)) for k, n in names.items()}
+
+
+def seeds() -> dict[str, frozenset[str]]:
+    """Function words that only one of the languages has."""
+    lists = function_words()
+    return {k: x - frozenset().union(*(y for j, y in lists.items() if j != k)) for k, x in lists.items()}
 
 
 def settled(text: str, seeds: dict[str, frozenset[str]]) -> str | None:

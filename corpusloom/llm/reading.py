@@ -23,26 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.pairs import FUNCTION_WORDS
+from corpusloom.llm.pairs import function_words
 
 HEADS = (25, 50, 100, 150, 200, 300, 400, 600)  # lengths of the familiar lists
 LEVELS = 4
 LABEL_ROWS = 40_000  # labels that the model is trained on, at most
 FLUSH = 200_000  # words counted before a worker hands its counts on
-LANGUAGES = (*FUNCTION_WORDS, "other")
+LANGUAGES = ("en", "de", "fr", "es", "other")
+Hints = dict[str, frozenset[str]]
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|\n+")
 _FULL = re.compile(r"[.!?…][\"”»)\]]*\s*$")
-_HINTS = {lang: frozenset(words) for lang, words in FUNCTION_WORDS.items()}
 RUNNING_WORDS = 8  # a line of so many words is a sentence even without a full stop
 
 
-def language_of(words: set[str]) -> str:
+def language_of(words: set[str], hints: Hints) -> str:
     """The language with most of its function words among the words."""
     best, most = "other", 0
-    for lang, hints in _HINTS.items():
-        n = len(words & hints)
+    for lang, known in hints.items():
+        n = len(words & known)
         if n > most:
             best, most = lang, n
     return best
@@ -54,7 +54,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
             yield i, t.lower()
 
 
-def document_frequencies(documents: DataFrame) -> DataFrame:
+def document_frequencies(documents: DataFrame, hints: Hints) -> DataFrame:
     """(lang, word, df): documents of each language that hold the word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +69,7 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for _, text in _texts(batch):
                 words = set(_WORD.findall(text))
-                counts[language_of(words)].update(words)
+                counts[language_of(words, hints)].update(words)
             if sum(map(len, counts.values())) > FLUSH:
                 yield flush()
         yield flush()
@@ -77,10 +77,10 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(work, "lang string, word string, df long").groupBy("lang", "word").agg(F.sum("df").alias("df"))
 
 
-def familiar(documents: DataFrame, length: int = HEADS[-1]) -> dict[str, dict[str, int]]:
+def familiar(documents: DataFrame, hints: Hints, length: int = HEADS[-1]) -> dict[str, dict[str, int]]:
     """Rank of each of the ``length`` words of a language found in most documents (a bounded list)."""
     w = Window.partitionBy("lang").orderBy(F.desc("df"), "word")
-    head = document_frequencies(documents).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= length).collect()
+    head = document_frequencies(documents, hints).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= length).collect()
     ranks: dict[str, dict[str, int]] = defaultdict(dict)
     for row in head:
         ranks[row["lang"]][row["word"]] = row["r"] - 1
@@ -97,7 +97,7 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def measures(texts: Iterator[tuple[int, str]], ranks: dict[str, dict[str, int]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+def measures(texts: Iterator[tuple[int, str]], ranks: dict[str, dict[str, int]], hints: Hints) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(ids, language numbers, measures) of the texts that have a full sentence."""
     ids: list[int] = []
     langs: list[int] = []
@@ -109,7 +109,7 @@ def measures(texts: Iterator[tuple[int, str]], ranks: dict[str, dict[str, int]])
         if not found:
             continue
         words = [w for s in found for w in s]
-        lang = language_of(set(words))
+        lang = language_of(set(words), hints)
         get = ranks.get(lang, {}).get
         rank += [get(w, 1 << 20) for w in words]
         lengths += map(len, found)
@@ -159,7 +159,7 @@ class Model:
         return (self._design(langs, x) @ self.weights).argmax(axis=1) + 1
 
 
-def train(documents: DataFrame, labels: DataFrame, ranks: dict[str, dict[str, int]], label_rows: int = LABEL_ROWS) -> Model | None:
+def train(documents: DataFrame, labels: DataFrame, ranks: dict[str, dict[str, int]], hints: Hints, label_rows: int = LABEL_ROWS) -> Model | None:
     """A model of at most label_rows labels (doc_id, level); None without labels."""
     rows = labels.filter(F.col("level").between(1, LEVELS)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("level").cast("int").alias("level"))
     rated = rows.orderBy(F.xxhash64("doc_id", "level"), "doc_id").limit(label_rows).collect()
@@ -171,7 +171,7 @@ def train(documents: DataFrame, labels: DataFrame, ranks: dict[str, dict[str, in
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, x = measures(_texts(batch), ranks)
+            ids, langs, x = measures(_texts(batch), ranks, hints)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "lang", "x"])
 
     known = {r["doc_id"]: (r["lang"], r["x"]) for r in texts.mapInArrow(work, "doc_id long, lang long, x array<double>").collect()}
@@ -184,12 +184,13 @@ def train(documents: DataFrame, labels: DataFrame, ranks: dict[str, dict[str, in
 def levels(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, default_level: int = 2) -> DataFrame:
     """(doc_id, level) of each document with a full sentence; documents: doc_id, text; labels: doc_id, level."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranks = familiar(docs)
-    model = train(docs, labels, ranks, label_rows)
+    hints = function_words()
+    ranks = familiar(docs, hints)
+    model = train(docs, labels, ranks, hints, label_rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, x = measures(_texts(batch), ranks)
+            ids, langs, x = measures(_texts(batch), ranks, hints)
             y = model.levels(langs, x) if model and len(ids) else np.full(len(ids), default_level)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32())], ["doc_id", "level"])
 

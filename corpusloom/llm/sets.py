@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import shuffle_partitions
 
+GROUP_ROWS = 20_000  # routed sets of one task's turn, on average
+HOT_MEMBERS = 2000  # records of one set whose pairs one task makes
 HOT_ROWS = 4000  # classes of one list in one task; longer lists are spread over several
+PREFIX = 5  # lists that a set is routed to, on average
 EPS = 1e-9
 
 
@@ -141,9 +144,13 @@ class _Need:
         return self.need[i] if i < len(self.need) else 1 << 30
 
 
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a < b, overlap) of class ids whose sets have a Jaccard similarity of at least ``threshold``."""
+def similar_classes(classes: DataFrame, threshold: float, rows: int | None = None) -> DataFrame:
+    """Pairs (a < b, overlap) of class ids whose sets have a Jaccard similarity of at least ``threshold``.
+
+    rows: an estimate of the number of classes, which decides the number of groups only; counted if None.
+    """
     spark = classes.sparkSession
+    rows = classes.count() if rows is None else rows
     tokens = classes.select("cid", F.explode("terms").alias("t")).select("cid", F.xxhash64("t").alias("t"))
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = (
@@ -168,7 +175,7 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
             "terms",
         )
     )
-    groups = shuffle_partitions(spark) * 4
+    groups = max(shuffle_partitions(spark) * 4, rows * PREFIX // GROUP_ROWS)
     bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("word", "p", "q"), F.lit(groups)).cast("int"))
 
     def work(data: pa.Table) -> pa.Table:
@@ -193,15 +200,24 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     return bucketed.groupBy("bucket").applyInArrow(work, "a long, b long, overlap int")
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.6, least_terms: int = 1) -> DataFrame:
+def similar_pairs(records: DataFrame, threshold: float = 0.6, least_terms: int = 1, rows: int | None = None) -> DataFrame:
     """All pairs (rec_a < rec_b by code point) of records whose sets reach the threshold.
 
     Pairs of records with the same set count; for a report that stays linear
     in the input use similar_classes() with classes_of(), which keep copies folded.
     """
     classes, members = classes_of(records, least_terms)
-    pairs = similar_classes(classes, threshold).select("a", "b")
-    left, right = members.select(F.col("cid").alias("a"), F.col("rec").alias("ra")), members.select(F.col("cid").alias("b"), F.col("rec").alias("rb"))
-    across = pairs.join(left, "a").join(right, "b").select("ra", "rb")
-    same = left.join(right, left["a"] == right["b"]).filter(F.col("ra") < F.col("rb")).select("ra", "rb")
+    pairs = similar_classes(classes, threshold, rows).select("a", "b")
+    # Members in parts of HOT_MEMBERS: pairs of a set of many copies are made part by part, in several tasks.
+    parts = members.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / HOT_MEMBERS).cast("int").alias("parts"))
+    split = members.join(parts.filter("parts > 1"), "cid", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int")
+    mine = split.select(F.col("cid").alias("a"), F.col("rec").alias("ra"), part.alias("pa"), "parts")
+    theirs = split.select(F.col("cid").alias("b"), F.col("rec").alias("rb"), part.alias("pb"))
+    each = parts.select("cid", "parts")
+    spread = pairs.join(each.select(F.col("cid").alias("a"), F.col("parts").alias("na")), "a").join(each.select(F.col("cid").alias("b"), F.col("parts").alias("nb")), "b")
+    spread = spread.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("a", "b", "pa", "pb")
+    across = spread.join(mine.drop("parts"), ["a", "pa"]).join(theirs, ["b", "pb"]).select("ra", "rb")
+    copies = split.select(F.col("cid").alias("a"), F.col("rec").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"))
+    same = mine.join(copies, ["a", "pa"]).filter(F.col("ra") < F.col("rb")).select("ra", "rb")
     return across.union(same).select(F.least("ra", "rb").alias("rec_a"), F.greatest("ra", "rb").alias("rec_b"))

@@ -36,8 +36,9 @@ def test_probe_equals_brute_force(found, t):
 
 def test_similar_pairs_with_hot_terms(spark, monkeypatch):
     monkeypatch.setattr(sets, "HOT_ROWS", 5)
+    monkeypatch.setattr(sets, "HOT_MEMBERS", 3)
     rng = random.Random(1)
-    data = {f"r{i}": {"hot", *(f"w{rng.randrange(12)}" for _ in range(5))} for i in range(60)} | {"copy1": {"hot", "a", "b", "c", "d"}, "copy2": {"hot", "a", "b", "c", "d"}}
+    data = {f"r{i}": {"hot", *(f"w{rng.randrange(12)}" for _ in range(5))} for i in range(60)} | {"copy1": {"hot", "a", "b", "c", "d"}, "copy2": {"hot", "a", "b", "c", "d"}} | {f"more{i}": {"hot", "a", "b", "c", "d"} for i in range(12)} | {f"near{i}": {"hot", "a", "b", "c", "e"} for i in range(7)}
     rows = [(k, [" " + w.upper() + " " for w in v] + [None, " "]) for k, v in data.items()] + [("null", None), ("empty", [])]
     df = spark.createDataFrame(rows + rows[:3], "rec string, raw array<string>").withColumn("terms", sets.term_set(F.col("raw"))).withColumn("cid", F.lit(0))
     got = {tuple(r) for r in sets.similar_pairs(df.select("rec", "terms"), 0.6, 5).collect()}
