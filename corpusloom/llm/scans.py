@@ -34,6 +34,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,6 +50,7 @@ FLUSH = 200_000
 PROPOSALS = 60  # cheapest results of the editor that are looked up first; words without a hit are looked up among all words near them
 CHANGES = 3  # of a word looked up that way
 SHARE = 0.1  # a misread form isn't more frequent than this share of the word that it should be, as far as its count can tell
+EPOCHS = 25  # of the line model
 LINE_WORDS = 8  # a running header or page number has no more words
 BREAK = "\x1f"  # between the parts of a broken word
 KEEP, JOIN, HYPHEN = "=", "join", "hyphen"  # operations of the editor; any other is what a character becomes
@@ -81,6 +83,7 @@ def title_words(doc: str | None) -> list[str]:
     return [w.lower() for w in re.findall(r"[^\W\d_]+", doc.rsplit(".", 1)[0].rsplit("/", 1)[-1])]
 
 
+@lru_cache(maxsize=1 << 17)
 def _close(a: str, b: str) -> bool:
     """Whether a may be b with a few characters misread."""
     if a == b:
@@ -143,6 +146,7 @@ def furniture(lines: list[str], title: list[str]) -> list[str]:
     return kinds
 
 
+@lru_cache(maxsize=1 << 14)
 def _is_number(line: str) -> bool:
     m = _NUMBER.match(line.strip())
     return bool(m) and (m[1].isdigit() or bool(_ROMAN.match(m[1])))
@@ -158,36 +162,60 @@ def repeated_form(line: str) -> str:
     return "#" if _is_number(line) else " ".join(re.findall(r"[^\W\d_]+", line.lower()))
 
 
+_LINE_WORD = re.compile(r"[^\W_]+(?:[!@|][^\W_]+)*")
+_YEAR = re.compile(r"\W*(1\d{3}|20\d{2})[.,;)]*")
+_MARK = re.compile("[|·—–•]")
+
+
+class Page:
+    """The lines of a text, with where each stands among those that aren't blank."""
+
+    def __init__(self, text: str, title: list[str]):
+        self.lines, self.title = lines_of(text), title
+        self.filled = [k for k, x in enumerate(self.lines) if x.strip()]
+        self.place = {k: n for n, k in enumerate(self.filled)}
+        self.usual = sorted(len(self.lines[k]) for k in self.filled)[len(self.filled) // 2] if self.filled else 0
+        self.headers: dict[int, bool] = {}
+
+    def beside(self, place: int) -> str:
+        return self.lines[self.filled[place]].strip() if 0 <= place < len(self.filled) else ""
+
+    def header(self, place: int) -> bool:
+        """Whether the line at a place holds the title and little else."""
+        if place not in self.headers:
+            line = self.beside(place)
+            self.headers[place] = is_short(line) and is_header(line, self.title)
+        return self.headers[place]
+
+    def features(self, i: int) -> list[str]:
+        """Place and looks of a short line."""
+        line, first = self.lines[i].strip(), self.place[i]
+        last = len(self.filled) - 1 - first
+        words = _LINE_WORD.findall(line.lower())
+        before, after = self.beside(first - 1), self.beside(first + 1)
+        number = _is_number(line)
+        near = sum(any(_close(w, t) for w in words) for t in self.title)
+        letters = [ch for ch in line if ch.isalpha()]
+        beside = "N" if _is_number(before) or _is_number(after) else "C" if before.endswith(":") else "_"
+        runs = "H" if first and self.header(first - 1) else bool(before) and not _ENDS.search(before)  # a sentence is open where the line stands
+        goes = bool(after) and (after[:1].islower() or after[:1].isdigit())
+        kind = "n" if number else "t"
+        stop = bool(_ENDS.search(line))
+        out = [
+            kind, f"{kind}first{min(first, 2)}", f"{kind}last{min(last, 2)}", f"{kind}page{min(len(self.filled), 3)}", f"{kind}beside{beside}", f"{kind}runs{runs}{goes}", f"{kind}edge{first == 0 or last == 0}{runs}{goes}", f"year{bool(_YEAR.fullmatch(line))}{runs}",
+            f"{kind}words{min(len(words), LINE_WORDS)}", f"short{4 * len(line) < 3 * self.usual}", f"caps{bool(letters) and all(c.isupper() for c in letters)}", f"named{all(w[:1].isupper() for w in line.split())}",
+            f"stop{stop}", f"mark{bool(_MARK.search(line))}", f"digits{any(c.isdigit() for c in line)}{number}", f"chapter{bool(_CHAPTER.search(line))}",
+        ]
+        if self.title:
+            held = "all" if near == len(self.title) else "some" if near else "none"
+            alone = len(words) - near
+            return out + [f"title{held}", f"title{held}{min(alone, 4)}", f"title{held}{stop}{min(alone, 2)}", f"titled{self.header(first)}"]
+        return untitled(out)
+
+
 def line_features(lines: list[str], i: int, title: list[str]) -> list[str]:
-    """Place and looks of a short line."""
-    line = lines[i].strip()
-    words = re.findall(r"[^\W_]+(?:[!@|][^\W_]+)*", line.lower())
-    filled = [k for k, x in enumerate(lines) if x.strip()]
-    first, last = filled.index(i), len(filled) - 1 - filled.index(i)
-    before = lines[filled[first - 1]].strip() if first else ""
-    after = lines[filled[first + 1]].strip() if last else ""
-    number = _is_number(line)
-    near = sum(any(_close(w, t) for w in words) for t in title)
-    usual = sorted(len(lines[k]) for k in filled)[len(filled) // 2]
-    letters = [ch for ch in line if ch.isalpha()]
-    beside = "N" if _is_number(before) or _is_number(after) else "C" if before.endswith(":") else "_"
-    headed = is_short(before) and is_header(before, title)
-    runs = "H" if headed else bool(before) and not _ENDS.search(before)  # a sentence is open where the line stands
-    goes = bool(after) and (after[:1].islower() or after[:1].isdigit())
-    year = bool(re.fullmatch(r"\W*(1\d{3}|20\d{2})[.,;)]*", line))
-    kind = "n" if number else "t"
-    out = [
-        kind, f"{kind}first{min(first, 2)}", f"{kind}last{min(last, 2)}", f"{kind}page{min(len(filled), 3)}", f"{kind}beside{beside}", f"{kind}runs{runs}{goes}", f"{kind}edge{first == 0 or last == 0}{runs}{goes}", f"year{year}{runs}",
-        f"{kind}words{min(len(words), LINE_WORDS)}", f"short{4 * len(line) < 3 * usual}", f"caps{bool(letters) and all(c.isupper() for c in letters)}", f"named{sum(w[:1].isupper() for w in line.split()) == len(line.split())}",
-        f"stop{bool(_ENDS.search(line))}", f"mark{bool(re.search('[|·—–•]', line))}", f"digits{any(c.isdigit() for c in line)}{number}", f"chapter{bool(_CHAPTER.search(line))}",
-    ]
-    if title:
-        held = "all" if near == len(title) else "some" if near else "none"
-        alone = len(words) - near
-        out += [f"title{held}", f"title{held}{min(alone, 4)}", f"title{held}{bool(_ENDS.search(line))}{min(alone, 2)}", f"titled{is_header(line, title)}"]
-    else:
-        out.append("untitled")
-    return out
+    """Place and looks of a short line, see Page."""
+    return Page("\n".join(lines), title).features(i)
 
 
 class LineModel:
@@ -196,21 +224,26 @@ class LineModel:
     LABELS = ("", "header", "page_number")
 
     def __init__(self, examples: list[tuple[list[str], int, str]]):
-        known = [([*self.repeats(n), *f], label) for f, n, label in examples]
+        known = [(tuple(self.joined(f, n)), label) for f, n, label in examples]
         # a third again without what the document's name tells, for texts without one
-        known += [([x for x in f if not x.startswith("title")] + ["untitled"], label) for f, label in known[::3]]
-        self.model = Perceptron().train([(f, label, list(self.LABELS)) for f, label in known], 10)
+        known += [(tuple(self.joined(untitled(f), n)), label) for f, n, label in examples[::3]]
+        distinct = sorted(set(known))
+        random.Random(7).shuffle(distinct)
+        self.model = Perceptron().train([(list(f), label, list(self.LABELS)) for f, label in distinct], EPOCHS)
 
     @staticmethod
-    def repeats(n: int) -> list[str]:
-        return [f"again{min(n, 3)}"]
+    def joined(features: list[str], repeats: int) -> list[str]:
+        mark = "u" if features[0].startswith("u") else ""
+        return [*features, f"{mark}again{min(repeats, 3)}"]
 
     def label(self, features: list[str], repeats: int) -> str:
-        f = [*self.repeats(repeats), *features]
+        f = self.joined(features, repeats)
         return max(self.LABELS, key=lambda x: (self.model.score(f, x), x == ""))
 
 
-# ---------------------------------------------------------------- perceptrons
+def untitled(features: list[str]) -> list[str]:
+    """The features of a line without what the document's name tells, apart from those of titled ones."""
+    return ["u" + x for x in features if not x.startswith("title")]
 
 
 class Perceptron:
@@ -494,8 +527,9 @@ def is_short(line: str) -> bool:
 
 def findings(text: str, title: list[str], again: dict[int, int], model: LineModel, common: set[str]) -> Iterator[tuple[int, str, str, str]]:
     """(line, kind, token, sign): furniture lines, words not common, and breaks of a word with the sign that ends its line."""
-    lines = lines_of(text)
-    kinds = ["blank" if not x.strip() else model.label(line_features(lines, i, title), again.get(i, 1)) if is_short(x) else "" for i, x in enumerate(lines)]
+    page = Page(text, title)
+    lines = page.lines
+    kinds = ["blank" if not x.strip() else model.label(page.features(i), again.get(i, 1)) if is_short(x) else "" for i, x in enumerate(lines)]
     running = [i for i, k in enumerate(kinds) if not k]
     tokens = {i: lines[i].split() for i in running}
     for i, k in enumerate(kinds):
@@ -575,13 +609,13 @@ def line_model(pages: DataFrame, train_lines: int = TRAIN_LINES) -> LineModel:
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
-            for doc, text, cell in zip(x["doc"], x["text"], x["again"]):
-                lines, title, again = lines_of(text), title_words(doc), _again(cell)
-                rows += [(line_features(lines, i, title), again.get(i, 1), kind) for i, kind in enumerate(furniture(lines, title)) if kind != "blank" and is_short(lines[i])]
-            yield pd.DataFrame(rows, columns=["features", "n", "label"])
+            for row, doc, text, cell in zip(x["row_id"], x["doc"], x["text"], x["again"]):
+                page, again = Page(text, title_words(doc)), _again(cell)
+                rows += [(f"{row}:{i}", page.features(i), again.get(i, 1), kind) for i, kind in enumerate(furniture(page.lines, page.title)) if kind != "blank" and is_short(page.lines[i])]
+            yield pd.DataFrame(rows, columns=["at", "features", "n", "label"])
 
-    sample = pages.orderBy(F.xxhash64("src_table", "row_id")).limit(train_lines).mapInPandas(examples, "features array<string>, n int, label string")
-    rows = sample.limit(train_lines).collect()
+    sample = dealt(pages.orderBy(F.xxhash64("src_table", "row_id")).limit(train_lines // 2)).mapInPandas(examples, "at string, features array<string>, n int, label string")
+    rows = sample.orderBy(F.xxhash64("at"), "at").limit(train_lines).collect()
     return LineModel(sorted((list(r["features"]), r["n"], r["label"]) for r in rows))
 
 
