@@ -267,3 +267,13 @@ def reflowed(text: Column) -> Column:
     x = F.regexp_replace(F.array_join(marked, "\n"), r"-\n(\p{Ll})", "$1")
     x = F.regexp_replace(F.regexp_replace(x, f"\n*{_END}[\n{_END}]*", _END), "\n", " ")
     return F.replace(F.regexp_replace(x, f"^{_END}|{_END}$", ""), F.lit(_END), F.lit("\n\n"))
+
+
+def line_ends(text: Column) -> Column:
+    """All line ends as line feeds."""
+    return F.regexp_replace(text, "\\r\\n?", "\n")
+
+
+def stamp(time: Column) -> Column:
+    """A time as part of a file name: 20240131_235959."""
+    return F.date_format(time, "yyyyMMdd_HHmmss")

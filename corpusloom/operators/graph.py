@@ -64,3 +64,22 @@ def indexed_status(files: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
     """key, status: whether a file is among the indexed ones."""
     marks = indexed.select(key).distinct().withColumn("hit", F.lit(1))
     return files.select(key).distinct().join(marks, key, "left").select(key, F.when(F.col("hit").isNull(), "unindexed").otherwise("indexed").alias("status"))
+
+
+def upload_status(files: DataFrame, known: DataFrame, name: str, kind: str, size: str, types: tuple[str, ...] = ("pdf", "txt", "md", "csv"), most: int = 100_000_000) -> DataFrame:
+    """files with status: why a file may not be added (no name, its type, its size, a file of that name), or accepted; known: name."""
+    marks = known.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("_known", F.lit(True))
+    bad = ~F.coalesce(F.col(kind).isin(list(types)), F.lit(False))
+    status = F.when(F.col(name).isNull(), "no name").when(bad, "type not allowed").when(F.col(size) > most, "too large").when(F.col("_known"), "exists").otherwise("accepted")
+    return files.join(marks, name, "left").withColumn("status", status).drop("_known")
+
+
+def merged_sets(df: DataFrame, keys: list[str], value: str, members: str) -> DataFrame:
+    """keys, value (sorted distinct values), members (sorted union of the arrays) of each key."""
+    values = df.select(*keys, value).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(value))
+    each = df.select(*keys, F.explode_outer(members).alias(members)).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(members)).alias(members))
+    same = [values[k].eqNullSafe(each[k]) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return values.join(each, on).select(*[values[k] for k in keys], value, members)

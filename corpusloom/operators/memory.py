@@ -71,6 +71,27 @@ def examples(feedback: DataFrame, project: str, task: str, ihash: str, query: Se
     return x.select("id", T.clip(F.col("input_text"), 300).alias("input_text"), T.clip(F.col("final_text"), 300).alias("final_text"), (F.col("action") == "edit").alias("edited"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.desc("id")).limit(limit)
 
 
+def rejects(feedback: DataFrame, most: int = 2) -> DataFrame:
+    """project, task, ihash, id, output_text: the newest rejected answers of each input, to be avoided."""
+    return newest(feedback.filter(F.lower("action") == "reject"), ["project", "task", "ihash"], "id", most).select("project", "task", "ihash", "id", "output_text")
+
+
+def add_corrections(store: DataFrame, rows: DataFrame, most: int = 1000, order: str = "correction_id") -> DataFrame:
+    """The store with rows added; beyond ``most`` the oldest go first (the store's own limit)."""
+    both = store.unionByName(rows, allowMissingColumns=True)
+    return both.orderBy(F.desc(order)).limit(most)
+
+
+def delete_correction(store: DataFrame, index: int, order: str = "correction_id") -> DataFrame:
+    """The store (of bounded size) without its row at an index, the oldest at 0; an index out of range deletes nothing."""
+    kept = store.withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1)
+    return kept.filter(F.col("_at") != index).drop("_at")
+
+
+def clear_corrections(store: DataFrame) -> DataFrame:
+    return store.filter(F.lit(False))
+
+
 def cached(requests: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """(requests answered from the cache, those that aren't); empty answers aren't cached."""
     good = cache.filter(F.coalesce("answer", F.lit("")) != "").select(key, "answer")

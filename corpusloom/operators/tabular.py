@@ -39,16 +39,40 @@ def _unpivot(row: DataFrame, columns: Sequence[str], names: Sequence[str]) -> Da
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}`.{n}").alias(n) for n in names]) for c in columns])).alias("s")).select("s.*")
 
 
+def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """column and one array ``q`` of the exact percentiles of numeric columns, linear between neighbours; null values don't count.
+
+    Distinct values are counted map-side, cut into ranges and numbered by the
+    totals of the ranges before them, so that no task holds a column.
+    """
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")).select("s.*").filter("value is not null")
+    counted = each.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = cut(counted.repartitionByRange("column", "value").withColumn("slice", F.spark_partition_id()))  # both uses must see the same ranges
+    totals = ordered.groupBy("column", "slice").agg(F.sum("n").alias("t"))
+    w = Window.partitionBy("column")
+    before = totals.select("column", "slice", F.coalesce(F.sum("t").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("t").over(w).alias("all"))
+    run = F.coalesce(F.sum("n").over(Window.partitionBy("column", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ordered.withColumn("run", run).join(before, ["column", "slice"]).withColumn("low", F.col("before") + F.col("run"))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("all") - 1)).alias("h")) for i, q in enumerate(shares)])).alias("w")
+    holds = lambda x: (F.col("low") <= x) & (x < F.col("low") + F.col("n"))
+    low, high = F.floor("w.h"), F.ceil("w.h")
+    found = placed.select("column", "value", "low", "n", at).filter(holds(low) | holds(high))
+    ends = found.groupBy("column", "w.i", "w.h").agg(F.max(F.when(holds(low), F.col("value"))).alias("a"), F.max(F.when(holds(high), F.col("value"))).alias("b"))
+    value = F.struct("i", (F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))).alias("v"))
+    return ends.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x["v"]).alias("q"))
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, count, mean, std, min, quartiles, max of numeric columns, in one pass (exact percentiles)."""
+    """column, count, mean, std, min, quartiles, max of numeric columns, with exact percentiles."""
     cols = list(columns or numeric_columns(df))
 
     def one(c: str) -> Column:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(F.count(x).alias("count"), F.mean(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max")).alias(c)
+        return F.struct(F.count(x).alias("count"), F.mean(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(c)
 
-    return _unpivot(df.agg(*map(one, cols)), cols, STATS)
+    stats = _unpivot(df.agg(*map(one, cols)), cols, ("count", "mean", "std", "min", "max"))
+    q = percentiles(df, cols, (0.25, 0.5, 0.75))
+    return stats.join(q, "column", "left").select("column", "count", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p75"), "max")
 
 
 def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -63,16 +87,17 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, count, sum, mean, median, min, max, std, range, cv: coefficient of variation in per cent."""
     cols = list(columns or numeric_columns(df))
-    names = ("count", "sum", "mean", "median", "min", "max", "std", "range", "cv")
+    names = ("count", "sum", "mean", "min", "max", "std", "range", "cv")
 
     def one(c: str) -> Column:
         x = F.col(c).cast("double")
         cv = F.when(F.mean(x) != 0, F.stddev_samp(x) / F.mean(x) * 100)
         return F.struct(
-            F.count(x).alias("count"), F.sum(x).alias("sum"), F.mean(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_samp(x).alias("std"), (F.max(x) - F.min(x)).alias("range"), cv.alias("cv")
+            F.count(x).alias("count"), F.sum(x).alias("sum"), F.mean(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_samp(x).alias("std"), (F.max(x) - F.min(x)).alias("range"), cv.alias("cv")
         ).alias(c)
 
-    return _unpivot(df.agg(*map(one, cols)), cols, names)
+    stats = _unpivot(df.agg(*map(one, cols)), cols, names)
+    return stats.join(percentiles(df, cols, (0.5,)).select("column", F.get("q", F.lit(0)).alias("median")), "column", "left").select("column", "count", "sum", "mean", "median", *names[3:])
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -182,3 +207,15 @@ def codes(df: DataFrame, column: str) -> DataFrame:
     w = Window.partitionBy(F.lit(1)).orderBy(column)
     values = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("code", F.row_number().over(w) - 1)
     return df.join(values, column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+
+
+def ingest(store: DataFrame, rows: DataFrame, name: str, text: str, least: int = 20) -> DataFrame:
+    """The store with texts added under their names, line ends normalised; texts of fewer than ``least`` characters and null ones are left out, equal names replaced.
+
+    Of rows of one name the longest text counts.
+    """
+    from corpusloom.functions import text as T
+
+    clean = rows.withColumn(text, T.line_ends(F.col(text))).filter(F.length(F.trim(text)) >= least).filter(F.col(name).isNotNull())
+    best = clean.groupBy(name).agg(F.max_by(text, F.struct(F.length(text), text)).alias(text))
+    return store.select(name, text).join(best.select(name), name, "left_anti").unionByName(best)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import graph as G
+from corpusloom.operators import tabular as B
 from corpusloom.plans import as_bigint
 from corpusloom.session import table
 
@@ -70,10 +71,10 @@ def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
     return G.isolated(table(spark, d, "corpus_analysis").select("id").distinct(), links(spark, d))
 
 
-@query("broken_documents", "SELECT DISTINCT id, project, doc FROM mem_chunks m WHERE NOT EXISTS (SELECT 1 FROM corpus_analysis c WHERE c.filename = m.doc)")
+@query("broken_documents", "SELECT DISTINCT id, project, doc FROM mem_chunks m WHERE NOT EXISTS (SELECT 1 FROM corpus_analysis c WHERE c.filename = m.doc AND c.filetype = 'pdf')")
 def broken_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks whose document isn't in the analysis."""
-    return G.broken_references(table(spark, d, "mem_chunks").select("id", "project", "doc").distinct(), "doc", table(spark, d, "corpus_analysis"), "filename").select("id", "project", "doc")
+    """Chunks whose document isn't among the analysed PDF files."""
+    return G.broken_references(table(spark, d, "mem_chunks").select("id", "project", "doc").distinct(), "doc", table(spark, d, "corpus_analysis").filter("filetype = 'pdf'"), "filename").select("id", "project", "doc")
 
 
 @query("link_labels", f"WITH {LINKS}, c AS (SELECT DISTINCT id, filename FROM corpus_analysis) SELECT lk.source, lk.target, c.filename AS label, c.id IS NOT NULL AS found FROM lk LEFT JOIN c ON lk.target = c.id")
@@ -137,10 +138,10 @@ def name_titles(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("t", T.title_split(F.col("text"))).select("entity_id", "t.core", "t.gender", "t.title")
 
 
-@query("merged_aliases", "SELECT project, label, list(DISTINCT text ORDER BY text) AS names FROM entities WHERE text IS NOT NULL AND label IN ('GPE', 'EVENT', 'NORP') GROUP BY 1, 2")
+@query("merged_aliases", "WITH n AS (SELECT DISTINCT project, lower(trim(text)) AS name, text FROM entities WHERE text IS NOT NULL), p AS (SELECT DISTINCT project, lower(trim(text)) AS name, unnest(paras) AS para FROM entities WHERE text IS NOT NULL), a AS (SELECT project, name, list(text ORDER BY text) AS aliases FROM n GROUP BY 1, 2), b AS (SELECT project, name, list(para ORDER BY para) AS paras FROM p GROUP BY 1, 2) SELECT a.project, a.name, aliases, coalesce(paras, []) AS paras FROM a LEFT JOIN b ON a.project IS NOT DISTINCT FROM b.project AND a.name = b.name")
 def merged_aliases(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "entities").filter("text is not null and label in ('GPE', 'EVENT', 'NORP')")
-    return x.select("project", "label", "text").distinct().groupBy("project", "label").agg(F.array_sort(F.collect_list("text")).alias("names"))
+    """Spellings and paragraphs of each name of a project, merged without regard to case."""
+    return G.merged_sets(table(spark, d, "entities").filter("text is not null").select("project", F.lower(F.trim("text")).alias("name"), "text", "paras"), ["project", "name"], "text", "paras").withColumnRenamed("text", "aliases")
 
 
 @query("annotation_export", "SELECT DISTINCT project, source, para_idx, id, coalesce(quote, '') AS quote, coalesce(note, '') AS note FROM annotations")
@@ -179,13 +180,18 @@ def change_signature(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("project").agg(F.array_join(F.transform(ordered, lambda s: F.concat(s["filename"], F.lit(":"), s["word_count"].cast("string"))), "|").alias("signature"))
 
 
-@query("upload_guard", "SELECT doc_id, CASE WHEN title IS NULL THEN 'no name' WHEN filetype IS NULL OR filetype NOT IN ('pdf', 'txt', 'md', 'csv') THEN 'type not allowed' WHEN title IN (SELECT filename FROM corpus_analysis WHERE filename IS NOT NULL) THEN 'exists' ELSE 'accepted' END AS status FROM documents")
+@query("upload_guard", "SELECT doc_id, CASE WHEN title IS NULL THEN 'no name' WHEN filetype IS NULL OR filetype NOT IN ('pdf', 'txt', 'md', 'csv') THEN 'type not allowed' WHEN n_chars > 100000000 THEN 'too large' WHEN title IN (SELECT filename FROM corpus_analysis WHERE filename IS NOT NULL) THEN 'exists' ELSE 'accepted' END AS status FROM documents")
 def upload_guard(spark: SparkSession, d: str) -> DataFrame:
     """Which files may be added."""
-    known = table(spark, d, "corpus_analysis").select(F.col("filename").alias("title")).filter("title is not null").distinct().withColumn("known", F.lit(True))
-    x = table(spark, d, "documents").select("doc_id", "title", "filetype").join(known, "title", "left")
-    bad = F.col("filetype").isNull() | ~F.col("filetype").isin("pdf", "txt", "md", "csv")
-    return x.select("doc_id", F.when(F.col("title").isNull(), "no name").when(bad, "type not allowed").when(F.col("known"), "exists").otherwise("accepted").alias("status"))
+    known = table(spark, d, "corpus_analysis").select(F.col("filename").alias("title"))
+    return G.upload_status(table(spark, d, "documents").select("doc_id", "title", "filetype", "n_chars"), known, "title", "filetype", "n_chars").select("doc_id", "status")
+
+
+@query("ingested", "WITH c AS (SELECT title AS name, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE title IS NOT NULL), b AS (SELECT name, arg_max(text, {'n': length(text), 't': text}) AS text FROM c WHERE length(trim(text)) >= 20 GROUP BY 1), s AS (SELECT filename AS name, excerpt AS text FROM corpus_analysis) SELECT name, text FROM b UNION ALL SELECT name, text FROM s WHERE name NOT IN (SELECT name FROM b)")
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Documents taken in beside the excerpts that are there."""
+    store = table(spark, d, "corpus_analysis").select(F.col("filename").alias("name"), F.col("excerpt").alias("text"))
+    return B.ingest(store, table(spark, d, "documents").select(F.col("title").alias("name"), "text"), "name", "text")
 
 
 @query("correction_stats", "SELECT count(*) AS corrections, min(saved_at) AS first, max(saved_at) AS last, round(avg(length(question)), 4) AS question_length, round(avg(length(correct_answer)), 4) AS answer_length FROM (SELECT DISTINCT correction_id, saved_at, question, correct_answer FROM corrections)")

@@ -61,9 +61,9 @@ def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return R.embed(table(spark, d, "eval_items").select("item_id", "text"))
 
 
-@query("vector_topk", f"SELECT vec_id, round(greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {ASKED}))), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {ASKED}) DESC, vec_id LIMIT 10")
+@query("vector_topk", f"SELECT * FROM (SELECT vec_id, round(greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {ASKED}))), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {ASKED}) DESC, vec_id LIMIT 10) WHERE score >= 0.3")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    x = R.top_k(table(spark, d, "embeddings"), asked(spark, d), "vec_id", 10, 0.0, "embedding")
+    x = R.top_k(table(spark, d, "embeddings"), asked(spark, d), "vec_id", 10, 0.3, "embedding")
     return x.select("vec_id", F.round("score", 6).alias("score"))
 
 
@@ -175,6 +175,18 @@ def correction_listing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corrections").select("correction_id", "question", "correct_answer").distinct().orderBy(F.desc("correction_id")).limit(1000)
 
 
+@query("correction_store", "WITH c AS (SELECT DISTINCT correction_id, question FROM corrections), s AS (SELECT * FROM c ORDER BY correction_id DESC LIMIT 1000), n AS (SELECT *, row_number() OVER (ORDER BY correction_id) - 1 AS i FROM s) SELECT correction_id, question FROM n WHERE i <> 3")
+def correction_store(spark: SparkSession, d: str) -> DataFrame:
+    """The store after all corrections were added and the one at index 3 was deleted."""
+    x = table(spark, d, "corrections").select("correction_id", "question").distinct()
+    return M.delete_correction(M.add_corrections(M.clear_corrections(x), x), 3)
+
+
+@query("fewshot_rejects", "SELECT project, task, ihash, id, output_text FROM mem_feedback WHERE lower(action) = 'reject' QUALIFY row_number() OVER (PARTITION BY project, task, ihash ORDER BY id DESC) <= 2")
+def fewshot_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return M.rejects(table(spark, d, "mem_feedback"))
+
+
 @query("retention", "SELECT id, project, task FROM mem_feedback QUALIFY row_number() OVER (PARTITION BY project, task ORDER BY id DESC) <= 5")
 def retention(spark: SparkSession, d: str) -> DataFrame:
     return M.keep_recent(table(spark, d, "mem_feedback").select("id", "project", "task"), ["project", "task"], "id", 5)

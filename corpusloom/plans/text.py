@@ -543,7 +543,20 @@ def cloud_cover(spark: SparkSession, d: str) -> DataFrame:
     return S.set_cover(S.paragraphs(docs(spark, d)))
 
 
-@query("reflowed")
+REFLOW_SQL = r"""WITH l AS (SELECT doc_id, text, list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}\x{000B}\x{0085}\x{001C}-\x{001F}]+|[\s\p{Z}\x{000B}\x{0085}\x{001C}-\x{001F}]+$', '', 'g')) AS lines FROM documents),
+  u AS (SELECT *, coalesce(list_aggregate(list_filter(list_transform(lines, lambda x: length(x)), lambda n: n > 20), 'median'), 80) AS usual FROM l),
+  m AS (SELECT doc_id, text, array_to_string(list_transform(list_filter(lines, lambda x: NOT regexp_matches(x, '^[0-9]{1,4}$')), lambda x: CASE WHEN x = '' THEN chr(1) WHEN length(x) < 0.6 * usual AND regexp_matches(x, '[.!?:"”’)\]]$') THEN x || chr(10) || chr(1) ELSE x END), chr(10)) AS j FROM u),
+  h AS (SELECT doc_id, text, replace(regexp_replace(regexp_replace(j, '-\n(\p{Ll})', '\1', 'g'), '\n*\x01[\n\x01]*', chr(1), 'g'), chr(10), ' ') AS j FROM m)
+  SELECT doc_id, CASE WHEN text IS NOT NULL THEN replace(regexp_replace(j, '^\x01|\x01$', '', 'g'), chr(1), chr(10) || chr(10)) END AS text FROM h"""
+
+
+@query("axis_steps", "WITH w AS (SELECT doc_id, greatest(n_chars / 12.0, 1) AS share FROM documents), p AS (SELECT doc_id, share, pow(10, floor(log10(share))) AS power FROM w) SELECT doc_id, CAST(power * CASE WHEN share / power <= 1 THEN 1 WHEN share / power <= 2 THEN 2 WHEN share / power <= 5 THEN 5 ELSE 10 END AS BIGINT) AS step FROM p")
+def axis_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The step of an axis along each document."""
+    return table(spark, d, "documents").select("doc_id", S.axis_step(F.col("n_chars")).alias("step"))
+
+
+@query("reflowed", REFLOW_SQL)
 def reflowed(spark: SparkSession, d: str) -> DataFrame:
     return S.reflow(docs(spark, d))
 

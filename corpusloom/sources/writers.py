@@ -91,8 +91,41 @@ def page(data: dict, title: str, path: str) -> str:
 
 
 def rows_of(df: DataFrame, most: int = 5000) -> list[dict]:
-    """At most so many rows for a page."""
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+    """The rows of a result small enough for a page; a larger one is an error, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows don't fit a page")
+    return [r.asDict(recursive=True) for r in rows]
+
+
+def chat_log(messages: DataFrame, folder: str, stamp: str) -> str:
+    """Messages (role, content) as a log chat_<stamp>.json, one JSON object a line."""
+    path = f"{folder}/chat_{stamp}.json"
+    messages.select("role", "content").write.mode("error").json(path)
+    return path
+
+
+def converted(docs: DataFrame, folder: str) -> DataFrame:
+    """path, target, error of read documents, each text written as a file name.md in a folder; a file per document, by its worker.
+
+    docs: path, text, error, as from readers.documents(); those that couldn't be read are reported and skipped.
+    """
+
+    def work(batches):
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for x in batches:
+            targets = []
+            for path, text in zip(x["path"], x["text"]):
+                target = None
+                if text is not None:
+                    target = f"{folder}/{path.rsplit('/', 1)[-1].rsplit('.', 1)[0]}.md"
+                    Path(target).write_text(text, encoding="utf-8")
+                targets.append(target)
+            yield x[["path", "error"]].assign(target=targets)[["path", "target", "error"]]
+
+    return docs.select("path", "text", "error").mapInPandas(work, "path string, target string, error string")
 
 
 def site(nodes: list[dict], sources: dict[str, str], folder: str) -> tuple[list[dict], list[str]]:
