@@ -226,9 +226,10 @@ class LineModel:
     def __init__(self, examples: list[tuple[list[str], int, str]]):
         known = [(tuple(self.joined(f, n)), label) for f, n, label in examples]
         # a third again without what the document's name tells, for texts without one
-        known += [(tuple(self.joined(untitled(f), n)), label) for f, n, label in examples[::3]]
+        rng = random.Random(7)
+        known += [(tuple(self.joined(untitled(f), n)), label) for f, n, label in examples if rng.random() < 1 / 3]
         distinct = sorted(set(known))
-        random.Random(7).shuffle(distinct)
+        rng.shuffle(distinct)
         self.model = Perceptron().train([(list(f), label, list(self.LABELS)) for f, label in distinct], EPOCHS)
 
     @staticmethod

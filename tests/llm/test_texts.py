@@ -78,7 +78,7 @@ def test_the_line_model_goes_by_place_and_repetition():
     examples = [(scans.line_features(p, i, ["blue", "window"]), 3 if k else 1, k) for p in pages for i, k in enumerate(scans.furniture(p, ["blue", "window"])) if scans.is_short(p[i])]
     model = scans.LineModel(examples)
     page = ["J. Author | Notes 3", *body, "Kept where the light is.", "17"]
-    kinds = lambda again, title: [model.label(scans.line_features(page, i, title), again if i in (0, 5) else 1) for i in (0, 4, 5)]
+    kinds = lambda again, title: [model.label(scans.line_features(page, i, title), again if i == 0 else 3 if i == 5 else 1) for i in (0, 4, 5)]
     assert kinds(3, []) == ["header", "", "page_number"] and kinds(1, ["blue", "window"]) == ["", "", "page_number"]
     model.model.weights.clear()
     assert kinds(3, []) == ["", "", ""]
