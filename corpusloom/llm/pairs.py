@@ -28,6 +28,7 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -111,6 +112,12 @@ _CLAUSE = re.compile(r"[,;:()—–]+|\b(?:however|but|so|and then|aber|sondern|
 STRANGE = 1  # words of no class that a declining clause may have
 
 
+@lru_cache(maxsize=1 << 16)
+def _kinds(w: str) -> str:
+    """The classes of a word."""
+    return _EXACT.get(w) or next((c for stem, open_, c in _STEMS if open_ and w.startswith(stem)), "")
+
+
 def word_classes(clause: str, asked: frozenset[str]) -> str:
     """The classes of the words of a clause, without light ones; asked: the words of the question."""
     text = clause.lower().replace("’", "'")
@@ -120,7 +127,7 @@ def word_classes(clause: str, asked: frozenset[str]) -> str:
     for w in re.findall(r"\w+(?:'t|'m|'d|'ll|'ve|'re)?", text):
         if m := re.fullmatch(r"idiom(\d+)", w):
             w = IDIOMS[int(m[1])].replace("-", " ")
-        kinds = _EXACT.get(w) or next((c for stem, open_, c in _STEMS if open_ and w.startswith(stem)), "")
+        kinds = _kinds(w)
         if kinds:
             out.append(kinds)
         elif w in asked:
@@ -287,6 +294,7 @@ class Languages:
         for lang, text in labelled:
             counts.setdefault(lang, Counter()).update(self.grams(words(text)))
         self.names = sorted(counts)
+        self.memo: dict[str, list[float]] = {}  # scores of words seen
         every = {g for c in counts.values() for g in c}
         totals = {k: sum(c.values()) + len(every) for k, c in counts.items()}
         self.table = {g: [math.log((counts[k][g] + 1) / totals[k]) for k in self.names] for g in every}
@@ -305,9 +313,13 @@ class Languages:
         if kind not in ("LATIN", ""):
             return kind, math.inf
         score = [0.0] * len(self.names)
-        for g in self.grams(w for w in words(text) if w not in without):
-            if g in self.table:
-                score = [a + b for a, b in zip(score, self.table[g])]
+        if len(self.memo) > FLUSH:
+            self.memo.clear()
+        for w in words(text):
+            if w not in without:
+                if w not in self.memo:
+                    self.memo[w] = [sum(x) for x in zip(*(self.table[g] for g in self.grams([w]) if g in self.table))] or [0.0] * len(score)
+                score = [a + b for a, b in zip(score, self.memo[w])]
         if len(score) < 2 or not any(score):
             return "", 0.0
         best, second = sorted(range(len(score)), key=lambda i: -score[i])[:2]
