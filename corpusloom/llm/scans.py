@@ -35,6 +35,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -469,20 +470,28 @@ def near_words(missing: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(kind, token, often, form, word) of all lexicon words within depth() edits of a form of a token.
 
     Words within k edits of each other have a form in common that deletes k characters or less.
+    Both sides have hundreds of rows a word, which Spark's estimates don't know, so neither may be broadcast.
     """
 
     def of_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = [(k, t, n, f, d) for k, t, n in zip(x["kind"], x["token"], x["n"]) for f in forms(k, t) if depth(f) for d in _deletions(f, depth(f))]
-            yield pd.DataFrame(rows, columns=["kind", "token", "often", "form", "part"])
+            rows = ((k, t, n, f, d) for k, t, n in zip(x["kind"], x["token"], x["n"]) for f in forms(k, t) if depth(f) for d in _deletions(f, depth(f)))
+            yield from _framed(rows, ["kind", "token", "often", "form", "part"])
 
     def of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame([(w, d) for w in x["word"] for d in _deletions(w, depth(w) or 1)], columns=["word", "part"])
+            yield from _framed(((w, d) for w in x["word"] for d in _deletions(w, depth(w) or 1)), ["word", "part"])
 
     a = missing.mapInPandas(of_tokens, "kind string, token string, often long, form string, part string").withColumn("part", F.xxhash64("part"))
     b = dealt(lexicon.filter(F.length("word") > 3).select("word")).mapInPandas(of_words, "word string, part string").withColumn("part", F.xxhash64("part"))
-    return a.join(b, "part").select("kind", "token", "often", "form", "word").distinct()
+    return a.hint("merge").join(b.hint("merge"), "part").select("kind", "token", "often", "form", "word").distinct()
+
+
+def _framed(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded size."""
+    rows = iter(rows)
+    while some := list(islice(rows, FLUSH // 4)):
+        yield pd.DataFrame(some, columns=columns)
 
 
 def looked_up(missing: DataFrame, lexicon: DataFrame, model) -> DataFrame:

@@ -57,6 +57,15 @@ def test_words_beyond_the_proposals_are_looked_up(spark):
     assert got == {("three", "misread", "statistical"), ("broken", "hyphen", "statistical")}
 
 
+def test_deletions_of_words_are_never_broadcast(spark):
+    noisy = spark.createDataFrame([("word", "transcr1ption", 1), ("word", "docurnent", 1)], "kind string, token string, n long")
+    lexicon = spark.createDataFrame([("transcription",), ("document",), ("elsewhere",)], "word string")
+    near = scans.near_words(noisy, lexicon)
+    assert sorted((r["token"], r["word"]) for r in near.collect()) == [("docurnent", "document"), ("transcr1ption", "transcription")]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_loss_is_that_of_the_cheapest_proposal():
     editor = scans.Editor([("transcr1pt", "transcript"), ("docurnent", "document"), ("firsf", "first")] * 3, ["transcript", "document"])
     for noisy in ("sfatistlcal", "docurnenf", "vvindow", "annotatlon"):
