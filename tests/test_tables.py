@@ -1,10 +1,13 @@
 """Tabular, graph, retrieval, memory, learning, stream operators, sources and sinks on literals."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
@@ -110,6 +113,44 @@ def test_answers(spark):
     assert got[3] == ("guess", ["model", "retry 1", "retry 2", "unverified"])
 
 
+def test_nearest_equals_pairwise_cosines(spark, monkeypatch):
+    rng = random.Random(5)
+    v = lambda d=4: [float(round(rng.gauss(0, 1), 1)) for _ in range(d)]
+    rows = [(v(), f"t{rng.randrange(40):02}") for _ in range(300)]
+    rows += rows[:60] + [(x, "a" + t) for x, t in rows[:60]] + [(x, None) for x, _ in rows[:5]]
+    rows += [([0.0] * 4, "zero"), ([1.0, None, 0.0, 0.0], "gap"), ([float("nan"), 0.0, 0.0, 1.0], "nan"), (v(3), "short"), ([], "empty"), (None, "none")]
+    asked = [(i, x) for i, (x, _) in enumerate(rows[::9])] + [(0, v()), (901, [0.0] * 4), (902, v(3)), (903, None), (904, [None] * 4), (905, [])]
+    table = spark.createDataFrame(rows, "vec array<float>, text string").repartition(3)
+    q = spark.createDataFrame(asked, "question_id long, qv array<float>")
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "text")
+    for asked_at_once in (20_000, 11):
+        monkeypatch.setattr(R, "ASKED", asked_at_once)
+        for n, least in ((1, 0.85), (3, 0.3), (4, 0.0)):
+            want = table.crossJoin(q).withColumn("score", V.cosine(F.col("vec"), F.col("qv"))).filter(F.col("score") >= least).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
+            key = lambda x: sorted(map(str, x.select("question_id", "score", "text", "r").collect()))
+            assert key(R.nearest(q, table, "vec", ["text"], n, least)) == key(want)
+
+
+def test_hits_are_the_best_whatever_the_blocks(monkeypatch):
+    monkeypatch.setattr(R, "STEP", 7)
+    monkeypatch.setattr(R, "HELD", 20)
+    x, y = (np.random.default_rng(s).normal(size=(n, 3)).round(1) for s, n in ((1, 400), (2, 30)))
+    hits = R._Hits(y, 3, 0.2)
+    for i in range(0, 400, 50):
+        hits.add(x[i : i + 50], pa.RecordBatch.from_arrays([pa.array(range(i, i + 50))], ["row"]))
+    got = sorted((int(c), s, r) for a, b, rows in hits.hits() for c, s, r in zip(a, b, rows.column(0).to_pylist()))
+    every = np.array([R._cosines(x, np.repeat(v[None], 400, axis=0)) for v in y])
+    want = sorted((c, s, r) for c in range(30) for r, s in enumerate(every[c]) if s >= max(0.2, np.sort(every[c])[-3]))
+    assert [(c, float(s), r) for c, s, r in got] == [(c, float(s), r) for c, s, r in want]
+
+
+def test_answers_compare_blocks_of_vectors(spark):
+    got = R.nearest(spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, qv array<float>"), spark.createDataFrame([([1.0, 0.5], "x")], "vec array<float>, text string"), "vec", ["text"], 1, 0.5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert [(r["question_id"], r["text"]) for r in got.collect()] == [(1, "x")]
+
+
 def test_characters(spark):
     rows = [("p", "Ann Lee", 5, 0, [1]), ("p", "Bo Lee", 4, 0, [2, 1]), ("p", "Lee", 9, 0, None), ("p", "Ann", 3, None, [3]), ("p", "Mark", 3, 9, [1]), ("p", None, 9, 0, [1]), ("q", "Mrs Lee", 3, 0, [4]), ("q", "Mr Lee", 4, 0, [4]), ("q", "Lee", 1, 0, [5])]
     df = spark.createDataFrame([(p, t, "PERSON", n, low, q) for p, t, n, low, q in rows], "project string, text string, label string, mention_count int, lower_count int, paras array<int>")
